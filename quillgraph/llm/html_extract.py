@@ -1,9 +1,10 @@
 """Main text of web pages, with site templates removed.
 
 Each page is read into a tree once. Subtrees are hashed over their tags, class names and text; Spark counts on how
-many pages of a host each hash occurs, and subtrees that recur on many pages of their host are deleted. What the page
-itself marks as furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) goes
-by tag, role and class name.
+many pages of a host each hash occurs, and subtrees that recur on many pages of their host are deleted. Pages with the same
+two longest blocks are copies of one article and count once, so that what copies share isn't taken for a template. What
+the page itself marks as furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+comments) goes by tag, role and class name.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ _MARKED = re.compile(
     r"comments?|commentlist|comment-?list|disqus|replies|reply|respond|discussion|toolbar|pagination|pager|skip|search|tags?)(?=$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:masthead|header)(?=$|[\s\"'_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note", "status"}
 _KEPT = {"html", "body", "article", "main"}
 
@@ -82,6 +84,13 @@ def _furniture(tag: str, raw: str) -> bool:
     return tag not in _KEPT and bool(_MARKED.search(a.get("class", "")) or _MARKED.search(a.get("id", "")))
 
 
+def _heading(tag: str, raw: str) -> bool:
+    """Furniture only for being a header: inside an article that is its own heading."""
+    if tag == "header":
+        return not (raw and _furniture("div", _HEADER.sub("", raw)))
+    return bool(_HEADER.search(raw)) and tag not in _GONE and not _furniture(tag, _HEADER.sub("", raw))
+
+
 def parse(html: str) -> Node:
     """The page as a tree; end tags may be missing or crossed."""
     root: Node = ["#root", False, "", [], 0]
@@ -126,8 +135,8 @@ def parse(html: str) -> Node:
                     if tag not in ("tr", "tbody"):
                         break
         gone = _furniture(tag, raw)
-        if gone and tag == "header" and not (raw and _furniture("div", raw)) and any(e[0] in ("article", "main") for e in stack):
-            gone = False  # an article's own heading
+        if gone and any(e[0] in ("article", "main") for e in stack) and _heading(tag, raw):
+            gone = False
         node: Node = [tag, gone, raw.strip() if raw else "", [], 0]
         stack[-1][3].append(node)
         if tag in _RAW and not raw.endswith("/"):
@@ -164,7 +173,7 @@ def subtrees(root: Node) -> list[tuple[int, Node]]:
         if some:
             h = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
             node[4] = h - (1 << 64) if h >> 63 else h
-            if node[0] not in ("#root", "html", "body"):
+            if node[0] not in ("#root", *_KEPT):
                 out.append((node[4], node))
     return out
 
@@ -241,23 +250,34 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def article_key(root: Node) -> int:
+    """A hash of the two longest blocks: the same for copies of a page, whatever surrounds them."""
+    import xxhash
+
+    longest = sorted(set(blocks(root)), key=lambda t: (len(t), t))[-2:]
+    h = xxhash.xxh64_intdigest("\x00".join(longest).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            keys = [sorted({h for h, _ in subtrees(parse(t or ""))}) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], ["host", "keys"])
+            roots = [parse(t or "") for t in part.column(1).to_pylist()]
+            keys = [sorted({h for h, _ in subtrees(root)}) for root in roots]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(article_key, roots), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["host", "article", "keys"])
 
 
 def templates(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, keys): for each host the hashes of subtrees that occur on ``min_pages`` of its pages and ``min_share`` of them.
 
+    Pages are told apart by their articles.
     Since a share of the pages holds each, a host has at most its elements a page divided by the share of them.
     """
-    found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashes, "host string, keys array<long>")
+    found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashes, "host string, article long, keys array<long>")
     found = scratch.put(found, "subtrees")
-    n = found.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = found.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    n = found.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counts = found.select("host", "article", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = counts.join(n, "host").where(F.col("n") >= F.col("pages") * min_share)
     return scratch.put(often.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys")), "templates")
 
@@ -280,7 +300,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     A null or empty page has an empty text. A null URL, or one without host, counts as the host of the empty name.
-    Repeated rows count as pages each, and each gets its row. Other columns are not looked at. An empty table gives no
+    Repeated rows count as one page, and each gets its row. Other columns are not looked at. An empty table gives no
     rows.
     """
     scratch = Scratch(pages.sparkSession, "html")

@@ -35,7 +35,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     Sources in code point order, null last, have the weights in turn and share ``share`` of all sizes. No target is
     above ``most`` times its source's size; what is above goes to the others by weight. The level at which the rest
-    are served is found at once from the sources in order of size by weight: the first that isn't filled sets it.
+    are served is found at once from the sources in order of size by weight: the first that isn't filled sets it, and
+    of all that aren't filled it has the highest level.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     # one row for each source; the windows below run over those
@@ -50,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         .withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / F.col("w_left"))
         .withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
-        .withColumn("cut", F.min(F.when(F.col("open"), F.col("level"))).over(every))
+        .withColumn("cut", F.max(F.when(F.col("open"), F.col("level"))).over(every))
     )
     target = F.when(F.col("cut").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("cut") * F.col("w")))
     return level.select("source", "source_size", target.cast("double").alias("target"))

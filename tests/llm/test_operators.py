@@ -224,6 +224,14 @@ def test_main_text(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", f"<article><h1>One</h1><p>The same long article {'x' * (i % 2)}</p><p>With another paragraph</p></article><div>Edge {i % 3}</div>") for i in range(40)]
+    rows += [(100 + i, f"http://h.example/o{i}", f"<article><div class='entry-header'><h1>Own {i}</h1></div><p>An article of its own, {i}</p><p>Boilerplate at the end of all</p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "One\n\nThe same long article\n\nWith another paragraph"
+    assert got[107] == "Own 7\n\nAn article of its own, 7"
+
+
 def test_deep_and_long_pages():
     deep = html_extract.parse("<div>" * 20_000 + "end")
     assert html_extract.blocks(deep) == ["end"]
@@ -418,6 +426,15 @@ def test_mix(spark, chunk):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, seed):
+    rng = random.Random(seed)
+    sizes = {None: 40} | {f"s{i}": rng.choice([0, 1, 5, rng.randint(1, 3000), 9000]) for i in range(rng.choice([1, 7, 40]))}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    want = targets_brute(sizes)
+    assert all(abs(r.target - want[r.source]) < 1e-6 for r in got.collect())
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size, p = rng.integers(1, 500, 3000), np.full(3000, 0.3)
