@@ -6,7 +6,8 @@ of the documents nearest by Mahalanobis distance and re-estimate from those, and
 counts. Documents far from the centre of their group are rejected.
 
 All steps are aggregates by group: medians and cuts come from counts over fine fixed bins, so that no group is ever
-gathered, results don't depend on order, and rows never leave the JVM.
+gathered, results don't depend on order, and rows never leave the JVM. Rows carry a salt, and what is known of a group is
+laid out over the salts where rows are joined with it, so that a large group's rows are spread over tasks.
 """
 
 from __future__ import annotations
@@ -33,9 +34,15 @@ _MEDIAN = 4.351460191095526  # of chi-squared with 5 degrees
 _BIN = 512
 _LOG_BIN = 64
 MIN_WORDS = 10
+#: Into how many parts the rows of each group are dealt for joins.
+SALTS = 32
 _D = len(STATS)
 
 
+def _salted(side: DataFrame) -> DataFrame:
+    return side.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _without(text: Column, chars: str) -> Column:
     """How many characters of ``text`` are among ``chars``."""
     return (F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("long")
@@ -143,27 +150,28 @@ def _log_bin(d: Column) -> Column:
 def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(g, m.., k.., scale): for each group its centre, inverse factor and the scale of distances. ``rows`` has g and x."""
     x = [f"x{i}" for i in range(_D)]
-    long = rows.select("g", F.posexplode(F.array(*x)).alias("i", "x"))
+    rows = rows if "z" in rows.columns else rows.withColumn("z", F.lit(0))
+    long = rows.select("g", "z", F.posexplode(F.array(*x)).alias("i", "x"))
     med = _quantile(long.groupBy("g", "i", F.floor(F.col("x") * _BIN).cast("int").alias("bin")).agg(F.count("*").alias("n")), ["g", "i"], 0.5, "mid")
     med = scratch.put(med.withColumn("mid", (F.col("mid") + 0.5) / _BIN), "medians")
-    off = long.join(med, ["g", "i"]).groupBy("g", "i", F.floor(F.abs(F.col("x") - F.col("mid")) * _BIN).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    off = long.join(_salted(med), ["g", "i", "z"]).groupBy("g", "i", F.floor(F.abs(F.col("x") - F.col("mid")) * _BIN).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     mad = _quantile(off, ["g", "i"], 0.5, "mad").withColumn("mad", 1.4826 * (F.col("mad") + 0.5) / _BIN)
     one = med.join(mad, ["g", "i"]).groupBy("g")
     start = one.agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(_D)], *[F.max(F.when(F.col("i") == i, F.greatest("mad", F.lit(FLOORS[i])))).alias(f"a{i}") for i in range(_D)])
     start = scratch.put(start, "start")
     z = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}") for i in range(_D)]
     # two starts: nearest to the medians by the sum of squares, and by the largest deviation
-    near = rows.join(start, "g").select("g", *x, F.explode(F.array(F.struct(F.lit(0).alias("s"), sum((v * v for v in z[1:]), z[0] * z[0]).alias("d")), F.struct(F.lit(1).alias("s"), (F.greatest(*z) * F.greatest(*z)).alias("d")))).alias("e"))
-    near = near.select("g", *x, "e.s", "e.d").withColumn("bin", _log_bin(F.col("d")))
+    near = rows.join(_salted(start), ["g", "z"]).select("g", "z", *x, F.explode(F.array(F.struct(F.lit(0).alias("s"), sum((v * v for v in z[1:]), z[0] * z[0]).alias("d")), F.struct(F.lit(1).alias("s"), (F.greatest(*z) * F.greatest(*z)).alias("d")))).alias("e"))
+    near = near.select("g", "z", *x, "e.s", "e.d").withColumn("bin", _log_bin(F.col("d")))
     params = None
     for step in range(STEPS + 1):
         counts = near.groupBy("g", "s", "bin").agg(F.count("*").alias("n"))
         cut = scratch.put(_quantile(counts, ["g", "s"], COVERAGE, "cut"), f"cut{step}")
-        params = scratch.put(_params(near.join(cut, ["g", "s"]).where("bin <= cut")), f"params{step}")
-        near = rows.join(params, "g").withColumn("d", _distance()).select("g", "s", *x, "d").withColumn("bin", _log_bin(F.col("d")))
+        params = scratch.put(_params(near.join(_salted(cut), ["g", "s", "z"]).where("bin <= cut")), f"params{step}")
+        near = rows.join(_salted(params), ["g", "z"]).withColumn("d", _distance()).select("g", "z", "s", *x, "d").withColumn("bin", _log_bin(F.col("d")))
     best = scratch.put(params.groupBy("g").agg(F.min(F.struct("logdet", "s")).alias("b")).select("g", "b.s"), "best")
     chosen = params.join(best, ["g", "s"]).drop("s", "logdet")
-    counts = near.join(best, ["g", "s"]).groupBy("g", "bin").agg(F.count("*").alias("n"))
+    counts = near.join(_salted(best), ["g", "s", "z"]).groupBy("g", "bin").agg(F.count("*").alias("n"))
     mid = _quantile(counts, ["g"], 0.5, "mid").select("g", (F.lit(_MEDIAN) / F.exp((F.col("mid") + 0.5) / _LOG_BIN)).alias("scale"))
     return scratch.put(chosen.join(mid, "g"), "estimates")
 
@@ -178,14 +186,14 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_
     gives no rows. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    rows = scratch.put(base(docs, id_col, text_col, lang_col, source_col), "base")
+    # the salt is a row's place in its task, stored with the row: even where ids and texts are all the same
+    rows = scratch.put(base(docs, id_col, text_col, lang_col, source_col).withColumn("z", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "base")
     groups = _groups(rows, scratch)
-    same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
-    named = groups.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "g")
-    grouped = rows.join(named, same, "left").drop("__l", "__s")
-    passed = scratch.put(grouped.where("not base_failed").select("g", *[f"x{i}" for i in range(_D)]), "vectors")
-    wide = passed
-    found = estimates(wide, scratch)
-    got = grouped.join(found, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
+    same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("z") == F.col("__z"))
+    named = _salted(groups).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("z").alias("__z"), "g")
+    grouped = rows.join(named, same, "left").drop("__l", "__s", "__z")
+    passed = scratch.put(grouped.where("not base_failed").select("g", "z", *[f"x{i}" for i in range(_D)]), "vectors")
+    found = estimates(passed, scratch)
+    got = grouped.join(_salted(found), ["g", "z"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
