@@ -66,10 +66,19 @@ def sentences(t: Column, lang: str = "en") -> Column:
     return F.sentences(t, F.lit("en" if lang == "simple" else lang), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(toks: Column, low: int, high: int) -> Column:
     """All n-grams of low to high words, joined by spaces, shorter ones first."""
-    parts = [F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i, n=n: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    def of(t: Column, n: int) -> Column:
+        at = lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)])
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), at)).otherwise(F.array().cast("array<string>"))
+
+    return let(toks, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def without_stop_words(toks: Column, lang: str) -> Column:

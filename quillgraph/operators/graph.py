@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder (one of our own only where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, from the session (one of our own only where that is unset)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

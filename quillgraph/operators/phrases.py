@@ -72,7 +72,7 @@ def search(index: DataFrame, queries: DataFrame, n_docs: int, k: int = 10) -> Da
     idf = 1 + F.log(F.lit(float(n_docs)) / (F.col("df") + 1))
     hit = queries.distinct().join(df, "term").join(index, "term").join(size, "doc_id")
     s = hit.groupBy("query_id", "doc_id").agg(F.sum(F.sqrt(F.col("tf").cast("double")) * idf * idf / F.sqrt(F.col("size").cast("double"))).alias("score"))
-    return top(s, k, [F.desc("score"), F.asc("doc_id")], ["query_id"]).select("query_id", "rank", "doc_id", "score")
+    return top(s, k, [F.desc(F.round("score", 9)), F.asc("doc_id")], ["query_id"]).select("query_id", "rank", "doc_id", "score")
 
 
 def tf_idf(index: DataFrame, n_docs: int, min_df: int = 1, max_share: float = 1.0) -> DataFrame:
@@ -107,7 +107,7 @@ def consensus(*resolved: DataFrame) -> DataFrame:
     for r in resolved[1:]:
         every = every.unionByName(r)
     s = every.groupBy("phrase", "page_id").agg(F.sum("prob").alias("prob"))
-    return top(s, 10, [F.desc("prob"), F.asc("page_id")], ["phrase"]).select("phrase", "rank", "page_id", "prob")
+    return top(s, 10, [F.desc(F.round("prob", 9)), F.asc("page_id")], ["phrase"]).select("phrase", "rank", "page_id", "prob")
 
 
 def by_similarity(candidates: DataFrame, scores: DataFrame, criterion: str = "sum") -> DataFrame:

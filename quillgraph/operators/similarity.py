@@ -76,9 +76,12 @@ def link_vectors(edges: DataFrame, out: bool = True, weighted: bool = False, log
 
 
 def most_similar(scores: DataFrame, k: int, valid: DataFrame | None = None) -> DataFrame:
-    """(a, rank, b, score): the k best of each row, ties to the smaller id."""
+    """(a, rank, b, score): the k best of each row, ties to the smaller id.
+
+    Scores that are equal to nine places are ties: sums over a shuffle may differ in the last bit from run to run.
+    """
     s = scores if valid is None else scores.join(valid.select(F.col("id").alias("b")).distinct(), "b", "left_semi")
-    return top(s, k, [F.desc("score"), F.asc("b")], ["a"]).select("a", "rank", "b", "score")
+    return top(s, k, [F.desc(F.round("score", 9)), F.asc("b")], ["a"]).select("a", "rank", "b", "score")
 
 
 def inlink(edges: DataFrame, n: int) -> DataFrame:

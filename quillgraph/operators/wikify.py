@@ -22,8 +22,7 @@ def spans(docs: DataFrame, known: DataFrame, longest: int = 3, least: float = 0.
     toks = docs.select("doc_id", T.tokens(F.lower("text")).alias("t"))
     parts = None
     for n in range(1, longest + 1):
-        at = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
-        g = toks.select("doc_id", "t", F.explode(at).alias("begin")).select("doc_id", "begin", (F.col("begin") + n).alias("end"), F.array_join(F.slice("t", F.col("begin") + 1, n), " ").alias("phrase"))
+        g = toks.select("doc_id", F.posexplode(T.ngrams(F.col("t"), n, n)).alias("begin", "phrase")).select("doc_id", "begin", (F.col("begin") + n).alias("end"), "phrase")
         parts = g if parts is None else parts.unionByName(g)
     return parts.join(known.where(F.col("prob") >= least).select("phrase", F.col("prob").alias("link_prob")), "phrase").select("doc_id", "begin", "end", "phrase", "link_prob")
 

@@ -1,12 +1,10 @@
-"""All queries of the engine by name, with the SQL that gives the same rows."""
+"""All queries of the engine by name, with the SQL that gives the same rows.
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+The tables at hand stand for those of an encyclopedia: order lines are links from orders to parts, parts are articles
+with categories, events are page views, documents are article texts. Each query reads its tables whole.
+"""
 
-from ..operators import links, similarity
-from ..session import table
+from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,3 +20,6 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+from . import q_graph, q_links, q_other, q_text  # noqa: E402, F401
