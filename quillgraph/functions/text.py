@@ -89,7 +89,7 @@ def without_stop_words(toks: Column, lang: str) -> Column:
 def cjk_bigrams(t: Column) -> Column:
     """Bigrams of characters, for languages that write no spaces."""
     c = F.filter(F.split(t, ""), lambda x: x.rlike(r"\p{L}|\p{N}"))
-    return F.when(F.size(c) > 1, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), F.concat)).otherwise(c)
+    return F.when(F.size(c) > 1, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b))).otherwise(c)
 
 
 def title_hash(lang: Column, name_space: Column, title: Column) -> Column:
