@@ -124,7 +124,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str | None = None
     if known is not None:
         missing = missing.join(known, "digest", "left_anti")
     missing.dropDuplicates(["digest"]).mapInArrow(_encoder(model_path, version), CACHE).write.mode("append").parquet(cache_path)
-    counts = stored()
+    # written without its aggregate, so that the join's shuffles are its own and a text that fills a third of the table is split
+    counts = Scratch(spark, "token-counts").put(stored(), "counts")
     return (
         base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
         .join(counts, "digest")
