@@ -151,7 +151,7 @@ def test_outliers_go_and_clean_documents_stay(spark):
 def test_estimates_are_near_a_brute_force_mcd(spark):
     clean, junk = mcd_set()
     scratch = Scratch(spark, "test")
-    rows = quality_rules.base(frame(spark, clean + junk)).where("not base_failed")
+    rows = scratch.put(quality_rules.base(frame(spark, clean + junk)).where("not base_failed"), "rows")
     x = np.array([[r[f"x{i}"] for i in range(5)] for r in rows.collect()])
     best, rng, h = None, np.random.default_rng(0), int(np.ceil(0.75 * len(x)))
     ridge = np.diag(np.square(quality_rules.FLOORS))
