@@ -1,9 +1,9 @@
 """Main text of web pages, with site templates removed.
 
 Each page is read into a tree once. Subtrees are hashed over their tags, class names and text; Spark counts on how
-many pages of a host each hash occurs, and subtrees that recur on many pages of their host are deleted. Pages with the same
-two longest blocks are copies of one article and count once, so that what copies share isn't taken for a template. What
-the page itself marks as furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+many pages of a host each hash occurs, and subtrees that recur on many pages of their host are deleted. Pages are told
+apart by the blocks that aren't frequent on their host; those with next to none are copies and count as one, so that what
+copies share isn't taken for a template. What the page itself marks as furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 comments) goes by tag, role and class name.
 """
 
@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ from ._common import Scratch
 #: A subtree is a template when this many pages of its host hold it, and this share of them.
 MIN_PAGES = 10
 MIN_SHARE = 0.5
+#: Words from which a block is known by least hashes, and characters of its own from which a page is an article.
+LONG_BLOCK = 20
+MIN_OWN = 20
+#: Into how many parts the pages of a host are dealt for the join with its frequent blocks.
+SALTS = 32
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -250,22 +257,49 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def article_key(root: Node) -> int:
-    """A hash of the two longest blocks: the same for copies of a page, whatever surrounds them."""
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def marks(text: str) -> list[int]:
+    """What a block is known by: a hash of its text, for a long one three least hashes of its runs of three words, so that edits of a few words leave one."""
     import xxhash
 
-    longest = sorted(set(blocks(root)), key=lambda t: (len(t), t))[-2:]
-    h = xxhash.xxh64_intdigest("\x00".join(longest).encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+    words = text.lower().split()
+    if len(words) < LONG_BLOCK:
+        return [_signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))]
+    runs = map(" ".join, zip(words, words[1:], words[2:], strict=False))
+    h = np.array([xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs], np.uint64)
+    return sorted({_signed(int((h * np.uint64(m) + np.uint64(m >> 7)).min())) for m in _MIX})
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    kind = pa.list_(pa.struct([("m", pa.list_(pa.int64())), ("n", pa.int64())]))
     for b in batches:
         for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            roots = [parse(t or "") for t in part.column(1).to_pylist()]
-            keys = [sorted({h for h, _ in subtrees(root)}) for root in roots]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(article_key, roots), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["host", "article", "keys"])
+            part, page, keys, found = b.slice(at, 256), [], [], []
+            for html in part.column(1).to_pylist():
+                root = parse(html or "")
+                texts = blocks(root)
+                keys.append(sorted({h for h, _ in subtrees(root)}))
+                page.append(_signed(xxhash.xxh64_intdigest("\x00".join([*texts, *map(str, keys[-1])]).encode("utf-8", "surrogatepass"))))
+                found.append([{"m": marks(t), "n": len(t)} for t in dict.fromkeys(texts)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(page, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(found, kind)], ["host", "page", "keys", "blocks"])
+
+
+def articles(found: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, article, keys): pages that differ, with the hash of the blocks that aren't frequent on their host.
+
+    Pages with fewer than MIN_OWN characters of such blocks are copies of others, or empty, and share the article 0.
+    """
+    often = found.select("host", F.explode(F.array_distinct(F.flatten("blocks.m"))).alias("m")).groupBy("host", "m").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = scratch.put(often.groupBy("host").agg(F.collect_list("m").alias("often")), "often").withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["m"], F.col("often")), F.lit(False)))
+    got = found.withColumn("z", F.pmod("page", F.lit(SALTS)).cast("int")).join(often, ["host", "z"], "left").select("host", "keys", own.alias("own"))
+    size = F.aggregate("own", F.lit(0).cast("long"), lambda total, b: total + b["n"])
+    return got.select("host", F.when(size >= MIN_OWN, F.xxhash64(F.array_sort(F.flatten("own.m")))).otherwise(F.lit(0)).alias("article"), "keys")
 
 
 def templates(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -274,8 +308,9 @@ def templates(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, mi
     Pages are told apart by their articles.
     Since a share of the pages holds each, a host has at most its elements a page divided by the share of them.
     """
-    found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashes, "host string, article long, keys array<long>")
-    found = scratch.put(found, "subtrees")
+    found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashes, "host string, page long, keys array<long>, blocks array<struct<m: array<long>, n: long>>")
+    found = scratch.put(found.dropDuplicates(["host", "page"]), "subtrees")
+    found = scratch.put(articles(found, scratch, min_pages), "articles")
     n = found.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = found.select("host", "article", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = counts.join(n, "host").where(F.col("n") >= F.col("pages") * min_share)

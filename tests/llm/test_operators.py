@@ -232,6 +232,19 @@ def test_copies_of_a_page_are_no_template(spark):
     assert got[107] == "Own 7\n\nAn article of its own, 7"
 
 
+def test_boilerplate_longer_than_the_articles_goes(spark):
+    notice = [" ".join(f"{w}{k}" for k in range(60)) for w in ("notice", "disclaimer")]
+    rows = [(i, f"http://n.example/{i}", f"<div><p>{notice[0]}</p></div><h1>Title {i}</h1><p>A short article about thing {i}</p><p>{notice[1]}</p>") for i in range(30)]
+    body = [[f"p{b}w{k}" for k in range(60)] for b in range(5)]  # near copies on another host: a word differs in one paragraph of five
+    for i in range(60):
+        text = [list(p) for p in body]
+        text[i % 5][7 + i // 5] = f"edit{i}"
+        rows.append((100 + i, f"http://c.example/{i}", "".join(f"<p>{' '.join(p)}</p>" for p in text)))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Title 7\n\nA short article about thing 7"
+    assert all(len(got[100 + i].split()) == 300 for i in range(60))
+
+
 def test_deep_and_long_pages():
     deep = html_extract.parse("<div>" * 20_000 + "end")
     assert html_extract.blocks(deep) == ["end"]
