@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch
 
-#: A subtree is a template when this many pages of its host hold it, and this share of them.
+#: A subtree is a template when this many pages of its host hold it, and this power of their number: 32 of 1,000, 1,000 of a million.
 MIN_PAGES = 10
-MIN_SHARE = 0.5
+GROWTH = 0.5
 #: Words from which a block is known by least hashes, and characters of its own from which a page is an article.
 LONG_BLOCK = 20
 MIN_OWN = 20
@@ -302,18 +302,18 @@ def articles(found: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES) ->
     return got.select("host", F.when(size >= MIN_OWN, F.xxhash64(F.array_sort(F.flatten("own.m")))).otherwise(F.lit(0)).alias("article"), "keys")
 
 
-def templates(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, keys): for each host the hashes of subtrees that occur on ``min_pages`` of its pages and ``min_share`` of them.
+def templates(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, growth: float = GROWTH, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, keys): for each host the hashes of subtrees that occur on ``min_pages`` of its pages and the ``growth`` power of their number.
 
-    Pages are told apart by their articles.
-    Since a share of the pages holds each, a host has at most its elements a page divided by the share of them.
+    Pages are told apart by their articles. The bound grows slowly, so that what recurs in one section of a large host is found.
+    A host has at most its elements a page times the root of its pages.
     """
     found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashes, "host string, page long, keys array<long>, blocks array<struct<m: array<long>, n: long>>")
     found = scratch.put(found.dropDuplicates(["host", "page"]), "subtrees")
     found = scratch.put(articles(found, scratch, min_pages), "articles")
     n = found.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = found.select("host", "article", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = counts.join(n, "host").where(F.col("n") >= F.col("pages") * min_share)
+    often = counts.join(n, "host").where(F.col("n") >= F.pow("pages", F.lit(growth)))
     return scratch.put(often.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys")), "templates")
 
 
@@ -331,7 +331,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, growth: float = GROWTH, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
     A null or empty page has an empty text. A null URL, or one without host, counts as the host of the empty name.
@@ -339,7 +339,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     rows.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    often = templates(pages, scratch, min_pages, min_share, url_col, html_col)
+    often = templates(pages, scratch, min_pages, growth, url_col, html_col)
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     schema = keyed.select("page_id", "url").schema.add("text", "string")
     got = keyed.join(often, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, schema)

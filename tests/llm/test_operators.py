@@ -245,6 +245,13 @@ def test_boilerplate_longer_than_the_articles_goes(spark):
     assert all(len(got[100 + i].split()) == 300 for i in range(60))
 
 
+def test_what_recurs_in_a_section_goes(spark):
+    rows = [(i, f"http://h.example/{i % 5}/{i}", f"<h1>Title {i}</h1><p>A text about thing {i}</p><p>All of section {i % 5} say this</p>" + "<p>Said by a few</p>" * (i < 9)) for i in range(150)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nA text about thing {i}" for i in range(9, 150))
+    assert got[3] == "Title 3\n\nA text about thing 3\n\nSaid by a few"
+
+
 def test_deep_and_long_pages():
     deep = html_extract.parse("<div>" * 20_000 + "end")
     assert html_extract.blocks(deep) == ["end"]
