@@ -28,6 +28,9 @@ LONG_BLOCK = 20
 MIN_OWN = 20
 #: Into how many parts the pages of a host are dealt for the join with its frequent blocks.
 SALTS = 32
+#: The share of a page's text that an article has to hold to stand for it, and what other articles may hold beside it.
+MOST = 0.5
+OTHERS = 0.1
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 _TOKEN = re.compile(
@@ -185,8 +188,8 @@ def subtrees(root: Node) -> list[tuple[int, Node]]:
     return out
 
 
-def _content(root: Node) -> Node:
-    """The article or main element with the most text, if it holds a good part of the page's; else the whole."""
+def _content(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> Node:
+    """The article or main element with the most text, if it holds half of the page's and other such elements little; else the whole."""
 
     def size(node: Node) -> int:
         total, stack = 0, [node]
@@ -195,7 +198,7 @@ def _content(root: Node) -> Node:
             for c in n[3]:
                 if isinstance(c, str):
                     total += len(c.strip())
-                elif not c[1]:
+                elif not c[1] and not (c[4] and c[4] in templates):
                     stack.append(c)
         return total
 
@@ -210,9 +213,9 @@ def _content(root: Node) -> Node:
                     stack.append(c)
     sized = [(size(c), c) for c in found]
     best = max(sized, key=lambda x: x[0], default=(0, root))
-    if len(found) > 1 and best[0] < 0.5 * sum(s for s, _ in sized):
-        return root  # a list of articles
-    return best[1] if best[0] else root
+    if not best[0] or best[0] < MOST * size(root) or sum(s for s, _ in sized) - best[0] > OTHERS * best[0]:
+        return root  # a page around a teaser, or a list of articles
+    return best[1]
 
 
 def blocks(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> list[str]:
@@ -226,7 +229,7 @@ def blocks(root: Node, templates: frozenset[int] | set[int] = frozenset()) -> li
                 out.append(t)
             run.clear()
 
-    start = _content(root)
+    start = _content(root, templates)
     stack: list = [(start, False)]
     while stack:
         item, closing = stack.pop()

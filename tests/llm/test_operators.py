@@ -252,6 +252,13 @@ def test_what_recurs_in_a_section_goes(spark):
     assert got[3] == "Title 3\n\nA text about thing 3\n\nSaid by a few"
 
 
+def test_an_article_stands_for_the_page_only_if_it_holds_most():
+    read = lambda html: html_extract.blocks(html_extract.parse(html))
+    assert read(f"<div><p>{'main ' * 50}</p></div><article>Teaser</article>") == [("main " * 50).strip(), "Teaser"]
+    assert read(f"<article>{'a' * 60}</article><article>{'b' * 40}</article>") == ["a" * 60, "b" * 40]
+    assert read(f"<div>Edge</div><article>{'a' * 60}</article><article>b</article>") == ["a" * 60]
+
+
 def test_deep_and_long_pages():
     deep = html_extract.parse("<div>" * 20_000 + "end")
     assert html_extract.blocks(deep) == ["end"]
