@@ -21,7 +21,7 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch
@@ -115,16 +115,23 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; a null text counts as empty."""
+def digest(text: Column) -> Column:
+    """What a row's text is known by where ids are null or shared; a null text counts as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, digests: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row, on demand with the text's digest; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pc.cast(b.column(1), pa.binary())
             fp = [fingerprint(t.as_py() or b"", size) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [digest(F.col(text_col)).alias("digest")] if digests else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest string" * digests)
 
 
 def _key_rows(fps: DataFrame) -> DataFrame:
@@ -238,6 +245,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(fp: DataFrame, scratch: Scratch, distance: int, block: int) -> DataFrame:
+    """(fp, least, root) for each fingerprint: the least id that has it and its component."""
+    least = scratch.put(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(least, scratch, distance, block), scratch)
+    return least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -247,19 +261,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fp = scratch.put(fingerprints(docs, id_col, text_col, size), "fp")
-    least = scratch.put(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(least, scratch, distance, block), scratch)
-    rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fp, scratch, distance, block)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fp.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, block: int = BLOCK) -> DataFrame:
+    """(doc_id, digest, root) for every row of ``docs``: its component, whatever its id."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fp = scratch.put(fingerprints(docs, id_col, text_col, size, True), "fp")
+    return fp.join(_rooted(fp, scratch, distance, block), "fp").select("doc_id", "digest", "root")
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each root of ``found`` (doc_id, digest, root), all columns kept: that with the smallest id.
+
+    A null id stands behind all others; of several texts with that id the one with the smallest digest stays. Rows of
+    other components stay whether or not their ids are null or shared.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
+    chosen = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__keep"), F.col("k.digest").alias("__of"))
+    d = docs.withColumn("__digest", digest(F.col(text_col)))
+    kept = d.join(chosen, d[id_col].cast("long").eqNullSafe(chosen["__keep"]) & (d["__digest"] == chosen["__of"]), "left_semi")
+    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one with the smallest id, all columns kept.
 
-    Of rows that share that id one stays. Rows with a null id stay only where a component has no other id.
+    Rows with a null id stay only where a component has no other id, one for each such component. Here an id that isn't
+    null stays once, even if components share it; keep_least() keeps a row of each.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    chosen = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen["__keep"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    kept = keep_least(docs, groups(docs, id_col, text_col, **how), id_col, text_col)
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

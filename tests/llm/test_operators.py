@@ -365,6 +365,18 @@ def test_simhash_components(spark, block):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_each_component_keeps_a_row_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(30)]
+    rows = [(None, t) for t in texts[:10]] * 2 + [(7, t) for t in texts[10:20]] + [(100 + i, t) for i, t in enumerate(texts[20:])] + [(None, texts[25]), (3, texts[26])]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()
+    want = [(None, t) for t in texts[:10]] + [(7, t) for t in texts[10:20]] + [(3 if i == 6 else 100 + i, t) for i, t in enumerate(texts[20:])]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert sum(r.doc_id is None for r in simhash.keep_one(frame(spark, rows)).collect()) == 10
+
+
 def test_golay_lists_share_an_index_at_distance_one():
     v = np.random.default_rng(0).integers(0, 1 << 23, 3000)
     a = simhash.golay_indices(v)
