@@ -92,12 +92,19 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 
 def _groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(lang, source, g): the group whose estimate a document takes, as a number."""
+    """(lang, source, g, feeds): the group whose estimate a document takes, as a number, and all groups whose estimate it is part of.
+
+    A language's estimate is made of all its documents, and the overall one of all there are, if small groups take it.
+    """
     n = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = Window.partitionBy("lang")  # over one row for each source
-    g = F.when(F.col("n") >= MIN_GROUP, F.xxhash64(F.lit(2), F.col("lang"), F.col("lang").isNull(), F.col("source"), F.col("source").isNull()))
-    g = g.when(F.sum("n").over(by_lang) >= MIN_GROUP, F.xxhash64(F.lit(1), F.col("lang"), F.col("lang").isNull())).otherwise(F.lit(0))
-    return scratch.put(n.select("lang", "source", g.alias("g")), "groups")
+    own = F.xxhash64(F.lit(2), F.col("lang"), F.col("lang").isNull(), F.col("source"), F.col("source").isNull())
+    level = F.xxhash64(F.lit(1), F.col("lang"), F.col("lang").isNull())
+    large, known = F.col("n") >= MIN_GROUP, F.sum("n").over(by_lang) >= MIN_GROUP
+    n = n.select("lang", "source", F.when(large, own).when(known, level).otherwise(F.lit(0)).alias("g"), F.when(known & (F.min("n").over(by_lang) < MIN_GROUP), level).alias("level"))
+    n = scratch.put(n, "levels")
+    whole = F.lit(None if n.where("g = 0").isEmpty() else 0).cast("long")
+    return scratch.put(n.select("lang", "source", "g", F.array_distinct(F.array_compact(F.array("g", "level", whole))).alias("feeds")), "groups")
 
 
 def _quantile(counts: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
@@ -190,9 +197,9 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_
     rows = scratch.put(base(docs, id_col, text_col, lang_col, source_col).withColumn("z", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "base")
     groups = _groups(rows, scratch)
     same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("z") == F.col("__z"))
-    named = _salted(groups).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("z").alias("__z"), "g")
+    named = _salted(groups).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("z").alias("__z"), "g", "feeds")
     grouped = rows.join(named, same, "left").drop("__l", "__s", "__z")
-    passed = scratch.put(grouped.where("not base_failed").select("g", "z", *[f"x{i}" for i in range(_D)]), "vectors")
+    passed = scratch.put(grouped.where("not base_failed").select(F.explode("feeds").alias("g"), "z", *[f"x{i}" for i in range(_D)]), "vectors")
     found = estimates(passed, scratch)
     got = grouped.join(_salted(found), ["g", "z"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))

@@ -148,6 +148,14 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(got[d].kept for d, *_ in clean)
 
 
+def test_small_sources_are_judged_by_their_whole_language(spark):
+    clean, junk = mcd_set()
+    small = [(3000 + i, t, "en", "spam") for i, (_, t, *_) in enumerate(junk[:3])] + [(4000 + i, t, "en", "few") for i, (_, t, *_) in enumerate(clean[:5])]
+    small += [(5000, junk[4][1], "xx", "tiny"), (5001, clean[9][1], "xx", "tiny")]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, clean + small)).collect()}
+    assert sorted(d for d, k in got.items() if not k) == [3000, 3001, 3002, 5000]
+
+
 def test_estimates_are_near_a_brute_force_mcd(spark):
     clean, junk = mcd_set()
     scratch = Scratch(spark, "test")
