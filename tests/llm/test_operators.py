@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillgraph.llm import html_extract, line_dedup, mixing, quality_clf, quality_rules, sharding, simhash, sp_codec, token_counts, topk
+from quillgraph.llm import html_extract, line_dedup, mixing, near_copies, quality_clf, quality_rules, sharding, simhash, sp_codec, token_counts, topk
 from quillgraph.llm._common import Scratch, tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, score double, h long, n_removed long"
@@ -385,6 +385,36 @@ def test_each_component_keeps_a_row_whatever_the_ids(spark):
     assert sum(r.doc_id is None for r in simhash.keep_one(frame(spark, rows)).collect()) == 10
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_copies_are_those_of_five_word_shingles(spark, block):
+    rows = near_rows()  # edits of up to six words in 400, and more below
+    rng = random.Random(6)
+    for g in range(10):
+        base = [f"g{g}w{rng.randrange(900)}" for _ in range(200)]
+        for k in range(12):
+            t = list(base)
+            for _ in range(k):
+                t[rng.randrange(200)] = f"e{rng.randrange(9000)}"
+            rows.append((3000 + 100 * g + k, " ".join(t)))
+    sets = [set(near_copies.shingles((t or "").encode()).tolist()) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, r in enumerate(rows):
+        least.setdefault(find(i), []).append((r[0] is None, r[0] or 0))
+    got = simhash.keep_least(frame(spark, rows), near_copies.groups(frame(spark, rows), block=block)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(min(v) for v in least.values())
+    assert near_copies.groups(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_golay_lists_share_an_index_at_distance_one():
     v = np.random.default_rng(0).integers(0, 1 << 23, 3000)
     a = simhash.golay_indices(v)
