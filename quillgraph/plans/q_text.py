@@ -155,9 +155,9 @@ def stemmed_terms(spark, d):
 
 @query()
 def sentence_counts(spark, d):
-    """Sentences and words as a break iterator finds them, and n-grams of two to three words of the first sentence."""
+    """Sentences and words as a break iterator finds them, and n-grams of two to three words of all sentences."""
     s = B.docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").alias("n_sentences"), F.size(F.flatten("s")).alias("n_words"), F.size(T.ngrams(F.coalesce(F.get("s", F.lit(0)), F.array().cast("array<string>")), 2, 3)).alias("n_grams"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.size(F.flatten("s")).alias("n_words"), F.size(F.flatten(F.transform("s", lambda x: T.ngrams(x, 2, 3)))).alias("n_grams"))
 
 
 @query("""SELECT p_partkey AS page_id, upper(substr(p_brand, 1, 1)) || substr(p_brand, 2) || ' and ' || p_name AS title, '/w/en/' || p_partkey::VARCHAR || '/' || replace(p_name, ' ', '_') AS url, p_name AS back FROM part""")

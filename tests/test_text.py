@@ -128,3 +128,12 @@ def test_readers(spark, tmp_path):
     e = spark.createDataFrame([(1, 1, 2), (2, 3, 4)], "lang_id short, src_page_id int, dest_page_id int")
     readers.save(e, str(tmp_path / "store"), "redirect")
     assert rows(readers.load(spark, str(tmp_path / "store"), "redirect").select("lang_id", "src_page_id", "dest_page_id")) == rows(e)
+
+
+def test_sentence_counts_take_all_sentences(spark, tmp_path):
+    from quillgraph.plans import catalogue, q_text  # noqa: F401
+
+    rows = [(1, "One two three. Four five six seven.", "en", "a"), (2, None, "en", "a"), (3, "One.", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_sentences, r.n_words, r.n_grams) for r in catalogue.QUERIES["sentence_counts"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 7, 8), 2: (0, 0, 0), 3: (1, 1, 0)}
