@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A folder of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A folder of our own only where that is unset and one machine does all."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -28,12 +31,17 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder, so that a lost executor loses nothing that was written.
 
-    ``put`` writes a frame and returns it as read back; ``drop`` deletes one that no later frame needs.
+    ``put`` writes a frame and returns it as read back; ``drop`` deletes one that no later frame needs. Results are read
+    from these tables when they are asked for; so the folder stays until the driver ends, which deletes it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/quillgraph/{name}-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -55,6 +63,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def own_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores in front until no column of the frames is called so in either case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
