@@ -13,6 +13,7 @@ Queries come in blocks of bounded size, so what is broadcast doesn't grow with t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,39 +30,73 @@ _CELLS = 1 << 21
 #: Beyond this total size a product may not be exact in a double.
 _EXACT = 2.0**52
 _LONG = (-(2**63), 2**63 - 1)
+_MOST = float(np.finfo(np.float64).max)
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component, as whole doubles. Vectors that are null or empty, or hold null or non-finite components, are left out, as are those whose scaled components are not finite."""
-    v = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale).cast("double") if scale == 1 else _floor(x.cast("double") * scale))
-    fit = F.col(vec_col).isNotNull() & (F.size(F.col(vec_col)) > 0) & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(1e300)))
+    """(vec_id, v): floor(scale * x) of every component, as whole doubles. Vectors that are null or hold null or non-finite components are left out; a product beyond the largest double stops there."""
+    v = F.transform(F.col(vec_col), lambda x: _floor(x.cast("double") * scale))
+    fit = F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def _floor(x):
     """floor() gives a long, which large values leave; those are whole already."""
-    return F.when(F.abs(x) < float(2**62), F.floor(x).cast("double")).otherwise(x)
+    return F.when(F.abs(x) < float(2**62), F.floor(x).cast("double")).otherwise(F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), x)))
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows with the queries' width, and which rows those are."""
     sizes = np.diff(column.offsets.to_numpy())
+    if not width:
+        return np.zeros((int((sizes == 0).sum()), 0)), sizes == 0
     values = column.flatten().to_numpy(zero_copy_only=False)
     ok = sizes == width
     return values[np.repeat(ok, sizes)].reshape(-1, width), ok
 
 
 def _bounds(width: int, slices: int) -> list[tuple[int, int]]:
-    at = np.linspace(0, width, min(slices, width) + 1).astype(int).tolist()
+    at = np.linspace(0, width, max(1, min(slices, width)) + 1).astype(int).tolist()
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def _totals(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products, as integers; those outside of 64 bits stop at its ends."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < _EXACT:
-        return (q @ c.T).astype(np.int64)
-    a, b = [[int(x) for x in r] for r in q], [[int(x) for x in r] for r in c]
-    return np.array([[min(max(sum(x * y for x, y in zip(u, v, strict=True)), _LONG[0]), _LONG[1]) for v in b] for u in a], np.int64).reshape(len(a), len(b))
+def _large(q: np.ndarray, c: np.ndarray) -> bool:
+    """Whether a sum of products may not be exact in doubles."""
+    with np.errstate(over="ignore"):
+        return not np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < _EXACT
+
+
+def list_heads(q: np.ndarray, c: np.ndarray, other: np.ndarray, cut: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) of the k first entries of each query's list of partial scores of each slice, once each; ``other`` marks the pairs that count."""
+    picked = np.zeros(other.shape, bool)
+    for a, b in cut:
+        with np.errstate(over="ignore", invalid="ignore"):
+            part = np.where(other, q[:, a:b] @ c[:, a:b].T, -np.inf)
+        n = min(k, part.shape[1])
+        picked[np.arange(len(q))[:, None], np.argpartition(-part, n - 1, axis=1)[:, :n]] = True
+    return np.nonzero(picked & other)
+
+
+def sufficient(q: np.ndarray, c: np.ndarray, other: np.ndarray, cut: list[tuple[int, int]], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) of the pairs that have a partial score of an m-th of their query's cutoff in one of the m slices."""
+    if _large(q, c):  # partial scores are rounded then: all pairs are resolved
+        return np.nonzero(other)
+    need, enough = (cutoff / len(cut))[:, None], np.zeros(other.shape, bool)
+    for a, b in cut:
+        enough |= q[:, a:b] @ c[:, a:b].T >= need
+    return np.nonzero(enough & other)
+
+
+def resolve(q: np.ndarray, c: np.ndarray, r: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of the pairs (r, x), as integers; those outside of 64 bits stop at its ends."""
+    if _large(q, c):
+        whole = [[int(v) for v in row] for row in q], [[int(v) for v in row] for row in c]
+        return np.array([min(max(sum(map(mul, whole[0][i], whole[1][j])), _LONG[0]), _LONG[1]) for i, j in zip(r.tolist(), x.tolist(), strict=True)], np.int64)
+    out = np.zeros(len(r), np.int64)
+    for at in range(0, len(r), 1 << 16):
+        e = slice(at, at + (1 << 16))
+        out[e] = np.einsum("ij,ij->i", q[r[e]], c[x[e]]).astype(np.int64)
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], n_queries: int, width: int):
@@ -95,8 +130,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, slices: int = SLI
     """(query_id, rank, vec_id, score) for every row of ``queries`` against every row of ``vectors`` with another id.
 
     Scores are integer inner products; ties go to the smaller id; with fewer than ``k`` candidates all are returned.
-    Vectors that are null or empty or hold null or non-finite components take no part, and a query meets only
-    candidates of its own length. Repeated candidate rows count as candidates each; rows that share the query's id are
+    Vectors that are null or hold null or non-finite components take no part, and a query meets only candidates of its own
+    length; of empty vectors all scores are 0. Repeated candidate rows count as candidates each; rows that share the query's id are
     its own. Empty tables give no rows. Scores outside of 64 bits stop at its ends. Other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -129,18 +164,8 @@ def _block(spark, scratch: Scratch, sought: DataFrame, got: pa.Table, width: int
         qid, q = shared.value
         best = (np.empty(0, np.int64),) * 3
         for vid, c in _chunks(batches, len(qid), width):
-            total, other, rows = _totals(q, c), vid[None, :] != qid[:, None], []
-            for a, b in cut:
-                part = np.where(other, q[:, a:b] @ c[:, a:b].T, -np.inf)
-                n = min(k, part.shape[1])
-                rows.append(np.argpartition(-part, n - 1, axis=1)[:, :n])
-            at = np.concatenate(rows, axis=1)
-            at.sort(axis=1)
-            new = np.c_[np.full(len(at), True), at[:, 1:] != at[:, :-1]]
-            row = np.repeat(np.arange(len(qid)), at.shape[1]).reshape(at.shape)
-            keep = new & other[row, at]
-            r, x = row[keep], at[keep]
-            best = _best(np.r_[best[0], qid[r]], np.r_[best[1], vid[x]], np.r_[best[2], total[r, x]], k)
+            r, x = list_heads(q, c, vid[None, :] != qid[:, None], cut, k)
+            best = _best(np.r_[best[0], qid[r]], np.r_[best[1], vid[x]], np.r_[best[2], resolve(q, c, r, x)], k)
         if len(best[0]):
             yield _frame(*best)
 
@@ -156,23 +181,8 @@ def _block(spark, scratch: Scratch, sought: DataFrame, got: pa.Table, width: int
         (qid, q), c0 = shared.value, limits.value
         best = (np.empty(0, np.int64),) * 3
         for vid, c in _chunks(batches, len(qid), width):
-            big = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width >= _EXACT
-            need = np.full((len(qid), 1), -np.inf) if big else (c0 / len(cut))[:, None]
-            enough = np.zeros((len(qid), len(vid)), bool)
-            for a, b in cut:
-                enough |= q[:, a:b] @ c[:, a:b].T >= need
-            enough &= vid[None, :] != qid[:, None]
-            r, x = np.nonzero(enough)
-            if not len(r):
-                continue
-            if big:
-                s = _totals(q, c)[r, x]
-            else:
-                s = np.zeros(len(r))
-                for at in range(0, len(r), 1 << 16):
-                    e = slice(at, at + (1 << 16))
-                    s[e] = np.einsum("ij,ij->i", q[r[e]], c[x[e]])
-                s = s.astype(np.int64)
+            r, x = sufficient(q, c, vid[None, :] != qid[:, None], cut, c0)
+            s = resolve(q, c, r, x)
             reach = s >= c0[r]
             best = _best(np.r_[best[0], qid[r[reach]]], np.r_[best[1], vid[x[reach]]], np.r_[best[2], s[reach]], k)
         if len(best[0]):
