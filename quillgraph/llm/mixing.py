@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Scratch, n_words
+from ._common import Scratch, n_words, own_name
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -183,7 +183,7 @@ def draw(rows: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for every row of ``docs``.
+    """(doc_id, size, source_size, target, taken, copies, source) for every row of ``docs``.
 
     A null text has size 0; a document of size 0 is taken 0 times. Rows with equal id, source and size are told apart
     by nothing and share one draw: all are taken as often. A null source is a source of its own, last in order. An
@@ -203,13 +203,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = draw(rows, scratch, chunk).where("p = 1").select("sid", "h", F.lit(1).alias("more"))
     got = keyed.join(per, "sid").join(drawn, ["sid", "h"], "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return got.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    got = got.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` as mixed: rows that the mix takes twice come twice, those it doesn't take go. All columns are kept."""
+    """``docs`` as mixed: rows that the mix takes twice come twice, those it doesn't take go. All columns are kept.
+
+    Rows are known by id, source and size; nulls are values of their own, and rows equal in all three are taken as often. Null
+    and empty texts are never taken. An empty table gives no rows. Columns may have any names.
+    """
     taken = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
-    size = n_words(F.col(text_col))
-    per = taken.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    got = docs.withColumn("__n", size).join(per, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    return got.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    at, of, n, k, size = (own_name(c, docs) for c in ("of_id", "of_source", "of_size", "copies", "words"))
+    per = taken.groupBy(F.col("doc_id").alias(at), F.col("source").alias(of), F.col("size").alias(n)).agg(F.max("copies").alias(k))
+    same = F.col(id_col).eqNullSafe(F.col(at)) & F.col(source_col).eqNullSafe(F.col(of)) & (F.col(size) == F.col(n))
+    got = docs.withColumn(size, n_words(F.col(text_col))).join(per, same)
+    return got.withColumn(at, F.explode(F.sequence(F.lit(1), F.col(k).cast("int")))).select(*docs.columns)
