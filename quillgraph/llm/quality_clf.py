@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import own_name
+
 BITS = 18
 #: The bound of the labelled sample that training reads.
 MAX_LABELLED = 12_000
@@ -120,17 +122,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bi
     """
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+    key = own_name("id", docs)
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("__id"))
+        .groupBy(F.col(id_col).alias(key))
         .agg(F.max(label_col).cast("int").alias("y"))
-        .withColumn("h", F.xxhash64("__id"))
-        .orderBy("h", "__id")
+        .withColumn("h", F.xxhash64(key))
+        .orderBy("h", key)
         .limit(max_labelled)
     )
     # at most max_labelled rows of three numbers: safe to broadcast
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
-    sample = texts.groupBy("__id", "h", "y").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col(id_col).alias(key), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+    sample = texts.groupBy(key, "h", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bi
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int32()), pa.array(np.r_[w[at], model.bias()])], ["k", "w"])
 
     schema = StructType([StructField("k", IntegerType()), StructField("w", DoubleType())])
-    got = sample.select("__id", "y", "h", "text").coalesce(1).mapInArrow(run, schema).toArrow()
+    got = sample.select(key, "y", "h", "text").coalesce(1).mapInArrow(run, schema).toArrow()
     k, w = got.column(0).to_numpy(), got.column(1).to_numpy()
     weights = np.zeros(1 << bits, np.float32)
     weights[k[k >= 0]] = w[k >= 0]
@@ -181,14 +184,23 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS, th
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``; repeated rows and ids get equal results."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``; repeated rows and ids get equal results.
+
+    Null and empty texts are scored by the bias alone. A null id counts as held out. Without labels every score is 0.5. An empty
+    table gives no rows. Other columns are not looked at.
+    """
     model = fit(docs, labels, max_labelled, id_col=id_col, text_col=text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return score(narrow, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns, whatever these are called.
+
+    Each row is judged by its own text, so that of repeated rows or ids all with that text stay or go. Null and empty texts are
+    judged by the bias alone. Without labels all stay. An empty table gives no rows.
+    """
     model = fit(docs, labels, max_labelled)
-    kept = score(docs, model, score_col="__score").where(F.col("__score") >= threshold)
+    name = own_name("score", docs)
+    kept = score(docs, model, score_col=name).where(F.col(name) >= threshold)
     return kept.select(*docs.columns)
