@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, own_name
 
 #: Fingerprints of one bucket that are compared with one another in one task; larger buckets go in pairs of blocks.
 BLOCK = 2048
@@ -280,17 +280,17 @@ def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     other components stay whether or not their ids are null or shared.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
-    chosen = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("__keep"), F.col("k.digest").alias("__of"))
-    d = docs.withColumn("__digest", digest(F.col(text_col)))
-    kept = d.join(chosen, d[id_col].cast("long").eqNullSafe(chosen["__keep"]) & (d["__digest"] == chosen["__of"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    keep, of, own = (own_name(c, docs) for c in ("keep", "of", "digest"))
+    chosen = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias(keep), F.col("k.digest").alias(of))
+    d = docs.withColumn(own, digest(F.col(text_col)))
+    kept = d.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.col(own) == F.col(of)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one with the smallest id, all columns kept.
 
-    Rows with a null id stay only where a component has no other id, one for each such component. Here an id that isn't
-    null stays once, even if components share it; keep_least() keeps a row of each.
+    A row with a null id stays only where its component has no other id. Unlike texts that share an id are told apart by their
+    digests, so each component keeps a row. Of rows that share id and text one stays. An empty table gives no rows.
     """
-    kept = keep_least(docs, groups(docs, id_col, text_col, **how), id_col, text_col)
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    return keep_least(docs, groups(docs, id_col, text_col, **how), id_col, text_col)

@@ -369,7 +369,13 @@ def test_simhash_components(spark, block):
     assert got == want
     kept = simhash.keep_one(frame(spark, rows), block=block)
     assert kept.columns == frame(spark, rows).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
+    # of each component the rows' least id, a null one only if there is no other; of texts that share it the one of the least digest
+    first = {}
+    for r in rows:
+        k = root[fp[id(r)]]
+        first[k] = min(first.get(k, (True, 0, "~")), (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    text = {hashlib.md5((r[1] or "").encode()).hexdigest(): r[1] or "" for r in rows}
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((n, d, text[h]) for n, d, h in first.values())
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
