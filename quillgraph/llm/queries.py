@@ -18,6 +18,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("shard_bytes").alias("n_bytes"), F.col("shard_depth").cast("long").alias("depth"), F.col("shard_prefix").alias("prefix"), F.col("shard_page").alias("page"))
 
 
+#: A limit at which also small tables split several times.
+SMALL = 64 << 10
+
+
+def sharding_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with shards so small that buckets split also where op1's limit holds whole tables."""
+    got = sharding.shard(_table(spark, sf_dir, "documents"), SMALL, keep=["doc_id"])
+    return got.select("doc_id", F.col("shard_bytes").alias("n_bytes"), F.col("shard_depth").cast("long").alias("depth"), F.col("shard_prefix").alias("prefix"), F.col("shard_page").alias("page"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -36,7 +46,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_codec.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "n_spanned"))
+    return sp_codec.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,17 +73,24 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_html_extraction, op6_sentencepiece, op7_simhash, op8_topk, op9_mixing, op10_quality_classifier, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_html_extraction, op6_sentencepiece, op7_simhash, op8_topk, op9_mixing, op10_quality_classifier, pipeline, sharding_small_shards)}
 
-ORACLES = {
-    "op1_sharding": f"""
+
+def _shards(max_bytes: int) -> str:
+    """Every row's bucket by definition: the least depth at which its prefix holds no more than the limit."""
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 p AS (SELECT d.*, l.depth, h >> (60 - l.depth) AS prefix FROM d CROSS JOIN (SELECT unnest(range(0, 61)) AS depth) l),
-s AS (SELECT depth, prefix, sum(n_bytes) AS b FROM p GROUP BY ALL HAVING sum(n_bytes) <= {sharding.MAX_BYTES}),
+s AS (SELECT depth, prefix, sum(n_bytes) AS b FROM p GROUP BY ALL HAVING sum(n_bytes) <= {max_bytes}),
 m AS (SELECT doc_id, n_bytes, h, min(depth) AS depth FROM p JOIN s USING (depth, prefix) GROUP BY ALL)
-SELECT doc_id, n_bytes, depth::BIGINT AS depth, (h >> (60 - depth))::BIGINT AS prefix, 0::BIGINT AS page FROM m""",
+SELECT doc_id, n_bytes, depth::BIGINT AS depth, (h >> (60 - depth))::BIGINT AS prefix, 0::BIGINT AS page FROM m"""
+
+
+ORACLES = {
+    "op1_sharding": _shards(sharding.MAX_BYTES),
+    "sharding_small_shards": _shards(SMALL),
     "op4_line_dedup": """
 WITH l AS (SELECT doc_id, text, i - 1 AS i, trim(string_split(text, chr(10))[i], ' ') AS t, string_split(text, chr(10))[i] AS raw
            FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Scratch
+from ._common import Scratch, own_name
 
 #: Bits of hash in all, and those that a round decides.
 WIDTH = 60
@@ -64,29 +64,35 @@ def shard(docs: DataFrame, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", t
     new = ["shard_bytes", "shard_depth", "shard_prefix", "shard_page"]
     own = [c for c in (docs.columns if keep is None else keep) if c not in new]
     scratch = Scratch(docs.sparkSession, "sharding")
-    rows = docs.select(*[F.col(c) for c in own], hash_of(F.col(id_col)).alias("__h"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("__n"))
-    rounds = directory(docs.select(hash_of(F.col(id_col)).alias("h"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes")), scratch, max_bytes)
-    got = rows.withColumn("__d", F.lit(None).cast("int"))
+    h, n, d, cell, depth, task, before, paged = (own_name(c, docs) for c in ("hash", "bytes", "depth", "cell", "to_depth", "task", "before", "page"))
+    hashed, size = hash_of(F.col(id_col)), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
+    rows = docs.select(*[F.col(c) for c in own], hashed.alias(h), size.alias(n))
+    rounds = directory(docs.select(hashed.alias("h"), size.alias("n_bytes")), scratch, max_bytes)
+    got = rows.withColumn(d, F.lit(None).cast("int"))
     for bits, found in rounds:
-        side = found.where("depth is not null").select(F.col("cell").alias("__c"), F.col("depth").alias("__e"))
+        side = found.where("depth is not null").select(F.col("cell").alias(cell), F.col("depth").alias(depth))
         if bits == BITS:
             side = F.broadcast(side)  # 2**BITS rows at most
-        got = got.join(side, _top("__h", bits) == F.col("__c"), "left").withColumn("__d", F.coalesce("__d", "__e")).drop("__c", "__e")
+        got = got.join(side, _top(h, bits) == F.col(cell), "left").withColumn(d, F.coalesce(d, depth)).drop(cell, depth)
     page = F.lit(0).cast("long")
     if rounds[-1][0] == WIDTH:  # some key alone exceeds the limit
-        got = got.withColumn("__p", F.when(F.col("__d").isNull(), F.spark_partition_id()))
-        run = Window.partitionBy("__h", "__p").orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, -1)
-        over = got.where("__d is null").withColumn("__before", F.coalesce(F.sum("__n").over(run), F.lit(0)))
+        got = got.withColumn(task, F.when(F.col(d).isNull(), F.spark_partition_id()))
+        run = Window.partitionBy(h, task).orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1)
+        over = got.where(F.col(d).isNull()).withColumn(before, F.coalesce(F.sum(n).over(run), F.lit(0)))
         # half-full pages: a row starts within the first half of its page, larger rows have pages of their own
         half = max(1, max_bytes // 2)
-        at = F.floor(F.col("__before") / half).cast("long")
-        paged = over.withColumn("__page", F.shiftleft(F.col("__p").cast("long"), 32) + at + 1).drop("__before")
-        got = got.where("__d is not null").withColumn("__page", page).unionByName(paged).withColumn("__d", F.coalesce("__d", F.lit(WIDTH)))
-        page = F.col("__page")
-    return got.select(*own, F.col("__n").alias("shard_bytes"), F.col("__d").alias("shard_depth"), _top("__h", "__d").alias("shard_prefix"), page.alias("shard_page"))
+        at = F.floor(F.col(before) / half).cast("long")
+        over = over.withColumn(paged, F.shiftleft(F.col(task).cast("long"), 32) + at + 1).drop(before)
+        got = got.where(F.col(d).isNotNull()).withColumn(paged, page).unionByName(over).withColumn(d, F.coalesce(d, F.lit(WIDTH)))
+        page = F.col(paged)
+    return got.select(*own, F.col(n).alias("shard_bytes"), F.col(d).alias("shard_depth"), _top(h, d).alias("shard_prefix"), page.alias("shard_page"))
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` as Parquet with a folder for each shard; each shard is written by one task."""
+    """Writes ``docs`` as Parquet with a folder for each shard; each shard is written by one task, so that it has one file.
+
+    All rows are written, repeated ones and those with null ids or texts among them. Columns named like those that shard() adds are
+    replaced by these and not written; a column ``shard`` is the folder's name. An empty table writes no shard.
+    """
     placed = shard(docs, max_bytes, id_col, text_col).withColumn("shard", F.concat_ws("-", "shard_depth", "shard_prefix", "shard_page"))
     placed.repartition("shard").drop("shard_bytes", "shard_depth", "shard_prefix", "shard_page").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -23,6 +23,7 @@ _PART = 1 << 19
 
 SCHEMAS = {
     "n_tokens": "long",
+    "spans_sha256": "string",
     "ids": "array<int>",
     "begins": "array<int>",
     "ends": "array<int>",
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     ``ids`` have begin and end ids; ``begins`` and ``ends`` are the pieces' spans in bytes of the whole text;
     ``decoded`` is what the library makes of the ids; the digests are of the ids as little-endian 32-bit numbers and
-    of the decoded text; ``n_spanned`` counts source bytes that lie in a span. A null text counts as empty: begin and
+    of the decoded text; ``spans_sha256`` is that of begin and end of each piece as such numbers; ``n_spanned`` counts source bytes that lie in a span. A null text counts as empty: begin and
     end ids only. Rows are independent, so that repeated rows and ids get equal results. Other columns are not looked
     at. An empty table gives no rows.
     """
@@ -227,13 +228,15 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     row["decoded"] = codec.decode(ids)
                     if "decoded_sha256" in outputs:
                         row["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in row["decoded"]]
-                arrays = [np.array(x, "<u4") for x in ids] if {"ids_sha256", "begins", "ends", "n_spanned"} & {*outputs} else []
+                arrays = [np.array(x, "<u4") for x in ids] if {"ids_sha256", "begins", "ends", "n_spanned", "spans_sha256"} & {*outputs} else []
                 if "ids_sha256" in outputs:
                     row["ids_sha256"] = [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays]
-                if {"begins", "ends", "n_spanned"} & {*outputs}:
+                if {"begins", "ends", "n_spanned", "spans_sha256"} & {*outputs}:
                     spans = [codec.spans(t, x) for t, x in zip(part, arrays, strict=True)]
                     row["begins"], row["ends"] = [s.tolist() if "begins" in outputs else None for s, _ in spans], [e.tolist() if "ends" in outputs else None for _, e in spans]
                     row["n_spanned"] = [int((e - s).sum()) for s, e in spans]
+                    if "spans_sha256" in outputs:
+                        row["spans_sha256"] = [hashlib.sha256(np.stack(x, axis=1).astype("<u4").tobytes()).hexdigest() for x in spans]
                 yield pa.RecordBatch.from_arrays([row["doc_id"], *(pa.array(row[o], schema.field(o).type) for o in outputs)], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{o} {SCHEMAS[o]}" for o in outputs)]))
@@ -243,7 +246,10 @@ _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.i
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded) for rows with ids; null ids decode to an empty text."""
+    """(doc_id, decoded) for every row with ids. Null or no ids decode to an empty text.
+
+    Rows are independent, so that repeated ones get equal results. An empty table gives no rows. Other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)
