@@ -32,32 +32,37 @@ class Engine:
             out = out.unionByName(asked.where("kind = 'phrase'").withColumn("value", normalise(F.col("value"))).join(best, "value", "left").select("key", "page_id"))
         return out
 
-    def _scores(self, metric: str) -> DataFrame:
+    def _scores(self, metric: str, pairs: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """Scores of the asked ``pairs`` (a, b), or of the asked ``rows`` (row_id) with all others: no others are computed."""
         n = self.pages.count()
+        inlink = lambda: similarity.inlink(self.edges, n, pairs, rows)
+        outlink = lambda: similarity.outlink(self.edges, pairs, rows)
         if metric == "inlink":
-            return similarity.inlink(self.edges, n)
+            return inlink()
         if metric == "outlink":
-            return similarity.outlink(self.edges)
+            return outlink()
         if metric == "milne-witten":
-            return similarity.milne_witten(similarity.inlink(self.edges, n), similarity.outlink(self.edges))
+            return similarity.milne_witten(inlink(), outlink())
         if metric == "direct-link":
             return similarity.direct_link(self.edges)
         if metric == "syn-rank":
-            return similarity.syn_rank(self.edges, n, self.edges)
+            return similarity.syn_rank(self.edges, n, self.edges, pairs)
         raise ValueError(metric)
 
     def similarity(self, pairs: DataFrame, metric: str = "milne-witten") -> DataFrame:
         """(a, b, score) of asked pairs; 1 for a page with itself, 0 for pairs that share nothing."""
-        j = pairs.select("a", "b").join(self._scores(metric), ["a", "b"], "left")
+        j = pairs.select("a", "b").join(self._scores(metric, pairs), ["a", "b"], "left")
         return j.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
 
     def cosimilarity(self, rows: DataFrame, cols: DataFrame, metric: str = "milne-witten") -> DataFrame:
-        return similarity.cosimilarity(self._scores(metric), rows, cols)
+        """(a, b, score) for all pairs of two stated lists (id); only these are scored."""
+        asked = rows.select(F.col("id").alias("a")).distinct().crossJoin(cols.select(F.col("id").alias("b")).distinct())  # what is asked for
+        return similarity.cosimilarity(self._scores(metric, asked), rows, cols)
 
     def most_similar(self, ids: DataFrame, k: int = 10, metric: str = "inlink", valid: DataFrame | None = None) -> DataFrame:
         """(a, rank, b, score) for the asked (page_id)."""
-        asked = ids.select(F.col("page_id").alias("a")).distinct()
-        return similarity.most_similar(self._scores(metric).join(asked, "a", "left_semi"), k, valid)
+        rows = ids.select(F.col("page_id").alias("row_id")).distinct()
+        return similarity.most_similar(self._scores(metric, rows=rows).join(rows.withColumnRenamed("row_id", "a"), "a", "left_semi"), k, valid)
 
     def vector(self, ids: DataFrame, out: bool = False) -> DataFrame:
         """(row_id, col_id, value): link vectors of the asked pages."""

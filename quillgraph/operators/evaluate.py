@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranking import rank_average
+from ..functions.ranking import folds, rank_average, tie_ranks
 
 RANKS = (1, 5, 10, 20, 50, 100, 500, 1000)
 
@@ -17,7 +17,7 @@ def similarity(df: DataFrame, keys: list[str], score: str = "score", gold: str =
     """(keys, n, missing, pearson, spearman, mae, rmse) over rows with a real score; others count as missing."""
     x = df.select(*keys, F.col(score).cast("double").alias("s"), F.col(gold).cast("double").alias("g"))
     ok = x.where("s is not null and not isnan(s) and abs(s) <> double('infinity')")
-    ranked = ok.withColumn("rs", rank_average(F.col("s"), keys)).withColumn("rg", rank_average(F.col("g"), keys))
+    ranked = tie_ranks(tie_ranks(ok, "s", keys, "rs"), "g", keys, "rg")
     d = F.col("s") - F.col("g")
     got = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("s", "g").alias("pearson"), F.corr("rs", "rg").alias("spearman"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"))
     total = x.groupBy(*keys).agg(F.count("*").alias("asked"))
@@ -109,3 +109,27 @@ def synthetic_gold(lines: DataFrame, stop_ranks: int = 20, targets: int = 50, ca
     step = F.log(F.col("place").cast("double")) / math.log(seed_ratio)
     before = F.when(F.col("place") == 1, -1).otherwise(F.floor(F.log(F.col("place") - 1.0) / math.log(seed_ratio)))
     return ranked.where(F.floor(step) != before).select("phrase1", "phrase2", "pmi", "place")
+
+
+def k_fold(gold: DataFrame, fit, k: int = 7, key: tuple[str, ...] = ("phrase1", "phrase2"), seed: int = 0) -> DataFrame:
+    """(fold, n, missing, pearson, spearman, mae, rmse): each fold scored by what was trained on the others; fold null for all together.
+
+    ``fit`` takes the training rows and returns a function that adds a column ``score`` to rows; gold scores are in ``gold``.
+    """
+    dealt, out = folds(gold, k, list(key), seed), None
+    for i in range(k):
+        apply = fit(dealt.where(F.col("fold") != i))
+        part = apply(dealt.where(F.col("fold") == i)).select("fold", "score", "gold")
+        out = part if out is None else out.unionByName(part)
+    each = similarity(out, ["fold"])
+    return each.unionByName(similarity(out, []).select(F.lit(None).cast("int").alias("fold"), *each.columns[1:]))
+
+
+def most_similar_report(guesses: DataFrame, gold: DataFrame, ranks: tuple[int, ...] = RANKS, threshold: float = 0.6, key: str = "q") -> DataFrame:
+    """(measure, at, value): mean precision and recall of the lists at each rank, both NDCGs weighted by judged guesses, and how many were judged."""
+    pr = precision_recall(guesses, gold, ranks, threshold, key).groupBy("at").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
+    rows = pr.select(F.expr("stack(2, 'precision', precision, 'recall', recall) as (measure, value)"), "at").select("measure", "at", "value")
+    for name, per in (("ndcg", ndcg(guesses, gold, key)), ("penalised ndcg", penalised_ndcg(guesses, gold, key))):
+        rows = rows.unionByName(overall_ndcg(per).select(F.lit(name).alias("measure"), F.lit(None).cast("int").alias("at"), F.col("ndcg").alias("value")))
+    seen = guesses.join(gold, [key, "id"]).agg(F.count("*").cast("double").alias("value"))
+    return rows.unionByName(seen.select(F.lit("judged").alias("measure"), F.lit(None).cast("int").alias("at"), "value"))

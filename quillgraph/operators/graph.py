@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .links import top
+
+
+#: Rounds between checkpoints where a round's plan has the one before it once.
+_CUT = 4
+
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share, from the session (one of our own only where that is unset)."""
+    """The folder that driver and executors share, from the session (one of our own only where that is unset and one machine does all)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-"))
     return sc.getCheckpointDir()
 
 
@@ -42,14 +54,16 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, stan
             ranks = cut(nodes.join(pushed, "page_id", "left").join(F.broadcast(lost)).select("page_id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
         return ranks
     n = out.count()
-    e = cut(e.join(out, "source_id"))
     m = e.select("dest_id").distinct().count()
+    # pages without in-links never change, and only they do not: what a round adds to is the same set each time
+    still = cut(out.select(F.col("source_id").alias("page_id")).join(e.select(F.col("dest_id").alias("page_id")).distinct(), "page_id", "left_anti").withColumn("rank", F.lit(1.0 / max(n, 1))))
+    e = cut(e.join(out, "source_id")).repartition("source_id").persist(StorageLevel.MEMORY_AND_DISK)  # dealt by source once for all rounds
     ranks = out.select(F.col("source_id").alias("page_id"), F.lit(1.0 / max(n, 1)).alias("rank"))
-    first = cut(ranks)
-    for _ in range(iterations):
+    for k in range(1, iterations + 1):
         pushed = e.join(ranks, e.source_id == ranks.page_id).groupBy(F.col("dest_id").alias("page_id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        fresh = pushed.select("page_id", (F.lit((1 - damping) / max(m, 1)) + damping * F.col("got")).alias("rank"))
-        ranks = cut(fresh.unionByName(first.join(fresh, "page_id", "left_anti")))
+        ranks = pushed.select("page_id", (F.lit((1 - damping) / max(m, 1)) + damping * F.col("got")).alias("rank")).unionByName(still)
+        ranks = cut(ranks) if k % _CUT == 0 or k == iterations else ranks
+    e.unpersist()
     return ranks
 
 
@@ -81,14 +95,23 @@ def category_graph(members: DataFrame, categories: DataFrame) -> tuple[DataFrame
     return up, tagged.where("__c is null").select(F.col("category_id").alias("cat"), F.col("article_id").alias("page_id"))
 
 
-def relax(start: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def _rounds(most: int | None):
+    """Numbers of rounds without end; beyond ``most`` an error, since what is found by then isn't the result."""
+    for k in count(1):
+        if most is not None and k > most:
+            raise RuntimeError(f"not settled after {most} rounds")
+        yield k
+
+
+def relax(start: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, owner, dist): for each node the least (dist, owner) that reaches it from ``start`` over (src, dst, w), w > 0.
 
-    Bellman-Ford rounds over the nodes that changed; equal distances go to the smaller owner.
+    Bellman-Ford rounds over the nodes that changed, until none does; equal distances go to the smaller owner. With
+    ``rounds`` it is an error if more would be needed.
     """
     best = cut(start.groupBy("node").agg(F.min(F.struct("dist", "owner")).alias("b")).select("node", "b.owner", "b.dist"))
     front = best
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         seen = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), "owner", (F.col("dist") + F.col("w")).alias("dist"))
         cand = seen.groupBy("node").agg(F.min(F.struct("dist", "owner")).alias("c"))
         old = best.select("node", F.struct("dist", "owner").alias("b"))
@@ -99,7 +122,7 @@ def relax(start: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     return best
 
 
-def closest_categories(candidates: DataFrame, child_parent: DataFrame, pages: DataFrame, costs: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def closest_categories(candidates: DataFrame, child_parent: DataFrame, pages: DataFrame, costs: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(page_id, cat, dist): the candidate category nearest to each page, going down from parent to child.
 
     An edge costs what its child costs, 1 without ``costs``; a page has the cost of its nearest category.
@@ -111,8 +134,8 @@ def closest_categories(candidates: DataFrame, child_parent: DataFrame, pages: Da
     return got.select("page_id", F.col("b.owner").alias("cat"), F.col("b.dist").alias("dist"))
 
 
-def category_distances(start_pages: DataFrame, child_parent: DataFrame, pages: DataFrame, costs: DataFrame | None = None, rounds: int = 50) -> DataFrame:
-    """(page_id, cat, dist) upward: every category above each of ``start_pages`` with its least distance."""
+def category_distances(start_pages: DataFrame, child_parent: DataFrame, pages: DataFrame, costs: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """(page_id, cat, dist) upward: every category above each of ``start_pages`` with its least distance; ``rounds`` as in relax()."""
     cost = None if costs is None else costs.select(F.col("cat").alias("__c"), "cost")
     up = child_parent.select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
     direct = start_pages.select("page_id").distinct().join(pages.distinct(), "page_id").select("page_id", "cat")
@@ -123,7 +146,7 @@ def category_distances(start_pages: DataFrame, child_parent: DataFrame, pages: D
         best = direct.join(cost, F.col("cat") == F.col("__c")).select("page_id", "cat", F.col("cost").alias("dist"))
     best = cut(best)
     front = best
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         cand = front.join(up, front.cat == up.src).groupBy("page_id", F.col("dst").alias("cat")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
         old = best.select("page_id", "cat", F.col("dist").alias("d"))
         front = cut(cand.join(old, ["page_id", "cat"], "left").where("d is null or dist < d").select("page_id", "cat", "dist"))
@@ -203,3 +226,51 @@ def hops(start: DataFrame, edges: DataFrame, most: int = 30) -> DataFrame:
             break
         seen = cut(seen.unionByName(front))
     return seen
+
+
+def family(child_parent: DataFrame, cats: DataFrame, kind: str) -> DataFrame:
+    """(cat, other): the children or parents of the asked categories (cat)."""
+    here, there = {"child": ("parent", "child"), "parent": ("child", "parent")}[kind]
+    return child_parent.select(F.col(here).alias("cat"), F.col(there).alias("other")).distinct().join(cats.select("cat").distinct(), "cat", "left_semi")
+
+
+def category_pages(members: DataFrame, cats: DataFrame) -> DataFrame:
+    """(cat, page_id): the pages right in the asked categories, from (cat, page_id)."""
+    return members.join(cats.select("cat").distinct(), "cat", "left_semi").select("cat", "page_id").distinct()
+
+
+def parent_ranks(child_parent: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(cat, most, most_parent, least, least_parent): each category's parents of highest and of lowest page rank, the smaller id in ties."""
+    j = child_parent.distinct().join(ranks.select(F.col("cat").alias("parent"), "pr"), "parent")
+    most, least = F.min(F.struct((-F.col("pr")).alias("pr"), "parent")), F.min(F.struct("pr", "parent"))
+    g = j.groupBy(F.col("child").alias("cat")).agg(most.alias("m"), least.alias("l"))
+    return g.select("cat", (-F.col("m.pr")).alias("most"), F.col("m.parent").alias("most_parent"), F.col("l.pr").alias("least"), F.col("l.parent").alias("least_parent"))
+
+
+def top_level(members: DataFrame, pages: DataFrame, root: DataFrame) -> DataFrame:
+    """(lang_id, page_id): the categories right below each language's top (lang_id, category_id), from (lang_id, category_id, article_id)."""
+    below = members.join(root, ["lang_id", "category_id"], "left_semi").select("lang_id", F.col("article_id").alias("page_id")).distinct()
+    return below.join(pages.where("name_space = 14").select("lang_id", "page_id"), ["lang_id", "page_id"], "left_semi")
+
+
+def category_search(start_pages: DataFrame, child_parent: DataFrame, members: DataFrame, costs: DataFrame | None = None, most: int | None = None, valid: DataFrame | None = None, children: bool = True) -> DataFrame:
+    """(start, page_id, dist): pages nearest to each start page by paths of categories that go up and then down.
+
+    Entering a category costs what it costs, 1 without ``costs``; a page is as far as the nearest of its categories, the start
+    itself 0. With ``children`` off paths only go up. ``valid`` (page_id) bounds the pages, ``most`` their number for each start,
+    the smaller id first in ties. Distances are relaxed from both directions until none changes.
+    """
+    up = category_distances(start_pages, child_parent, members, costs).select(F.col("page_id").alias("start"), "cat", "dist")
+    best = cut(up)
+    down = child_parent.select(F.col("parent").alias("src"), F.col("child").alias("dst")).distinct()
+    down = down.withColumn("w", F.lit(1.0)) if costs is None else down.join(costs.select(F.col("cat").alias("dst"), F.col("cost").alias("w")), "dst")
+    front = best
+    while children and not front.isEmpty():
+        cand = front.join(down, front.cat == down.src).groupBy("start", F.col("dst").alias("cat")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        old = best.select("start", "cat", F.col("dist").alias("d"))
+        front = cut(cand.join(old, ["start", "cat"], "left").where("d is null or dist < d").select("start", "cat", "dist"))
+        best = cut(front.unionByName(best.join(front, ["start", "cat"], "left_anti")))
+    found = best.join(members.select("cat", "page_id"), "cat").groupBy("start", "page_id").agg(F.min("dist").alias("dist")).where("start <> page_id")
+    found = found if valid is None else found.join(valid.select("page_id").distinct(), "page_id", "left_semi")
+    found = found.select("start", "page_id", "dist").unionByName(start_pages.select(F.col("page_id").alias("start"), "page_id", F.lit(0.0).alias("dist")).distinct())
+    return found if most is None else top(found, most, [F.asc("dist"), F.asc("page_id")], ["start"]).select("start", "page_id", "dist")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,8 +55,16 @@ def cascade(*analysers: DataFrame) -> DataFrame:
 
 
 def link_probability(docs: DataFrame, linked: DataFrame, longest: int = 3) -> DataFrame:
-    """(phrase, n_links, n_seen, prob): links / (occurrences + 3) of known phrases, from (doc_id, text) and (phrase, n_links)."""
-    grams = docs.select(F.explode(T.ngrams(T.tokens(F.lower("text")), 1, longest)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n_seen"))
+    """(phrase, n_links, n_seen, prob): links / (occurrences + 3) of known phrases, from (doc_id, text) and (phrase, n_links).
+
+    N-grams are made of the lengths that known phrases have, and those that aren't known go before they are counted.
+    """
+    lengths = [r[0] for r in linked.select(F.size(F.split("phrase", " ")).alias("n")).where(F.col("n") <= longest).distinct().collect()]  # ``longest`` numbers at most
+    toks, grams = docs.select(T.tokens(F.lower("text")).alias("t")), None
+    for n in sorted(lengths) or [1]:
+        g = toks.select(F.explode(T.ngrams(F.col("t"), n, n)).alias("phrase"))
+        grams = g if grams is None else grams.unionByName(g)
+    grams = grams.join(linked.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("n_seen"))
     return linked.join(grams, "phrase", "left").select("phrase", "n_links", F.coalesce("n_seen", F.lit(0)).alias("n_seen"), (F.col("n_links") / (F.coalesce("n_seen", F.lit(0)) + 3)).alias("prob"))
 
 
@@ -152,3 +160,73 @@ def phrase_scores(docs: DataFrame, min_count: int = 5, text_col: str = "text") -
     pair = pair.where(F.col("n") >= min_count)
     j = pair.join(uni.select(F.col("w").alias("first"), F.col("n").alias("na")), "first").join(uni.select(F.col("w").alias("second"), F.col("n").alias("nb")), "second")
     return j.join(F.broadcast(total)).select("first", "second", "n", ((F.col("n") - min_count) * F.col("total") / (F.col("na") * F.col("nb"))).alias("score"))
+
+
+def split_variants(phrase: Column) -> Column:
+    """The heads and tails of three letters or more of a word of more than three, which a search for its parts takes; none for other phrases."""
+    n = F.char_length(phrase)
+    cuts = F.sequence(F.lit(1), n - 1)
+    heads = F.transform(F.filter(cuts, lambda i: i > 2), lambda i: phrase.substr(F.lit(1), i))
+    tails = F.transform(F.filter(cuts, lambda i: n - i > 2), lambda i: phrase.substr(i + 1, n))
+    return F.when((n > 3) & ~F.contains(phrase, F.lit(" ")), F.concat(heads, tails)).otherwise(F.array().cast("array<string>"))
+
+
+def fields_index(docs: DataFrame, fields: dict[str, tuple[str, int]], id_col: str = "doc_id") -> DataFrame:
+    """(field, doc_id, term, tf): an index of several fields; ``fields`` names each one's column and how often it counts."""
+    out = None
+    for name, (column, times) in fields.items():
+        part = term_index(docs, id_col, column).select(F.lit(name).alias("field"), "doc_id", "term", (F.col("tf") * times).alias("tf"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def text_senses(phrases: DataFrame, index: DataFrame, n_docs: int, k: int = 10, depth: int = 3) -> DataFrame:
+    """(phrase, page_id, prob): pages whose title fits a phrase; failing that, whose text does; failing that, that hold parts of the word.
+
+    ``index`` is one of fields "title" and "text". Scores are shares of the ``depth`` * k best, of which k are given.
+    """
+    named = phrases.select("phrase").distinct()
+    words = named.select("phrase", F.explode(T.tokens(F.lower("phrase"))).alias("term"))
+    parts = named.select("phrase", F.explode(split_variants(F.lower("phrase"))).alias("term"))
+    title, text = (index.where(F.col("field") == f).drop("field") for f in ("title", "text"))
+
+    def asked(q: DataFrame, ix: DataFrame, most: int) -> DataFrame:
+        got = search(ix, q.select(F.col("phrase").alias("query_id"), "term"), n_docs, most)
+        return got.select(F.col("query_id").alias("phrase"), F.col("doc_id").alias("page_id"), (F.col("score") / F.sum("score").over(Window.partitionBy("query_id"))).alias("prob"))
+
+    found = cascade(asked(words, title, depth * k), asked(words, text, depth * k), asked(parts, text, 10))
+    return top(found, k, [F.desc(F.round("prob", 9)), F.asc("page_id")], ["phrase"]).select("phrase", "page_id", "prob")
+
+
+def pair_similarity(pairs: DataFrame, senses: DataFrame, scores: DataFrame, counts: DataFrame | None = None, share: float = 0.4) -> DataFrame:
+    """(phrase1, phrase2, score): of all pairs of senses near the best score the most popular; compounds gain ln(n + 1) / 10.
+
+    ``senses`` has (phrase, page_id, prob), at most 100 of each phrase; ``scores`` (a, b, score), a missing one is 0; ``counts``
+    (phrase, n) tells how often the two phrases stand side by side, in either order. Phrases without senses go.
+    """
+    s = top(senses, 100, [F.desc("prob"), F.asc("page_id")], ["phrase"])
+    j = pairs.select("phrase1", "phrase2").distinct()
+    for i, p in (("1", "a"), ("2", "b")):
+        j = j.join(s.select(F.col("phrase").alias(f"phrase{i}"), F.col("page_id").alias(p), F.col("prob").alias(f"prob{i}")), f"phrase{i}")
+    j = j.join(scores, ["a", "b"], "left").withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+    most = F.max("score").over(Window.partitionBy("phrase1", "phrase2"))
+    near = j.withColumn("most", most).where(F.col("score") >= share * F.col("most"))
+    best = near.groupBy("phrase1", "phrase2").agg(F.max_by("score", F.struct(F.round(F.col("prob1") * F.col("prob2"), 12), "score")).alias("score"))
+    if counts is None:
+        return best
+    n = counts.groupBy("phrase").agg(F.sum("n").alias("n"))
+    for i, (x, y) in enumerate((("phrase1", "phrase2"), ("phrase2", "phrase1"))):
+        best = best.withColumn("both", F.concat_ws(" ", x, y)).join(n.select(F.col("phrase").alias("both"), F.col("n").alias(f"n{i}")), "both", "left").drop("both")
+    beside = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+    return best.select("phrase1", "phrase2", (F.col("score") + F.when(beside > 0, F.log(beside + 1.0) / 10).otherwise(0.0)).alias("score"))
+
+
+def disambiguate(asked: DataFrame, senses: DataFrame, scores: DataFrame, criterion: str = "sum") -> DataFrame:
+    """(ctx, phrase, page_id, prob) for a batch of contexts at once, from (ctx, phrase) and (phrase, page_id, prob)."""
+    return by_similarity(asked.select("ctx", "phrase").distinct().join(senses.select("phrase", "page_id", "prob"), "phrase"), scores, criterion)
+
+
+def disambiguated_top(asked: DataFrame, senses: DataFrame, scores: DataFrame, criterion: str = "sum") -> DataFrame:
+    """(ctx, phrase, page_id): the best sense of each phrase of each context."""
+    d = disambiguate(asked, senses, scores, criterion)
+    return top(d, 1, [F.desc(F.round("prob", 9)), F.asc("page_id")], ["ctx", "phrase"]).select("ctx", "phrase", "page_id")

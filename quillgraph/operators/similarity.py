@@ -25,27 +25,31 @@ def normalise_rows(v: DataFrame) -> DataFrame:
     return v.join(n, "row_id").where("norm > 0").select("row_id", "col_id", (F.col("value") / F.col("norm")).alias("value"))
 
 
-def dots(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b, dot, n_common) for pairs of rows with a common feature: an inverted-index join, summed by pair."""
+def dots(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, dot, n_common) for pairs of rows with a common feature: an inverted-index join, summed by pair.
+
+    If only some ``pairs`` (a, b) are asked for, these are joined with the rows of both, so that no other pair is ever made.
+    """
     x = a.select(F.col("row_id").alias("a"), "col_id", F.col("value").alias("x"))
     y = b.select(F.col("row_id").alias("b"), "col_id", F.col("value").alias("y"))
-    return x.join(y, "col_id").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.count("*").alias("n_common"))
+    j = x.join(y, "col_id") if pairs is None else pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", "col_id"])
+    return j.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.count("*").alias("n_common"))
 
 
-def cosine(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+def cosine(a: DataFrame, b: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, score) for pairs that share a feature; rows of length 0 take no part. Pairs of a row with itself are left out when b is a."""
     other = a if b is None else b
     na, nb = norms(a).select(F.col("row_id").alias("a"), F.col("norm").alias("na")), norms(other).select(F.col("row_id").alias("b"), F.col("norm").alias("nb"))
-    d = dots(a, other)
+    d = dots(a, other, pairs)
     d = d.where("a <> b") if b is None else d
     return d.join(na, "a").join(nb, "b").where("na > 0 and nb > 0").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("score"))
 
 
-def google(a: DataFrame, n: int, b: DataFrame | None = None) -> DataFrame:
+def google(a: DataFrame, n: int, b: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, score): normalised distance 1 - (ln max - ln common) / (ln N - ln min) over sets of features."""
     other = a if b is None else b
     ca, cb = norms(a).select(F.col("row_id").alias("a"), F.col("n").alias("ca")), norms(other).select(F.col("row_id").alias("b"), F.col("n").alias("cb"))
-    d = dots(a, other)
+    d = dots(a, other, pairs)
     d = d.where("a <> b") if b is None else d
     return d.join(ca, "a").join(cb, "b").select("a", "b", google_score(F.col("ca"), F.col("cb"), F.col("n_common"), n).alias("score"))
 
@@ -84,14 +88,21 @@ def most_similar(scores: DataFrame, k: int, valid: DataFrame | None = None) -> D
     return top(s, k, [F.desc(F.round("score", 9)), F.asc("b")], ["a"]).select("a", "rank", "b", "score")
 
 
-def inlink(edges: DataFrame, n: int) -> DataFrame:
-    """Google distance over in-links."""
-    return google(link_vectors(edges, out=False), n)
+def _of(v: DataFrame, rows: DataFrame | None) -> DataFrame | None:
+    """The rows of ``v`` that are asked for (row_id); none if all are."""
+    return None if rows is None else v.join(rows.select("row_id").distinct(), "row_id", "left_semi")
+
+
+def inlink(edges: DataFrame, n: int, pairs: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Google distance over in-links; of the asked ``pairs`` (a, b), or of the asked ``rows`` (row_id) with all others."""
+    v = link_vectors(edges, out=False)
+    return google(v, n, pairs=pairs) if rows is None else google(_of(v, rows), n, v, pairs).where("a <> b")
 
 
-def outlink(edges: DataFrame) -> DataFrame:
-    """Cosine of out-links weighted by log rarity."""
-    return cosine(link_vectors(edges, out=True, weighted=True, logged=True))
+def outlink(edges: DataFrame, pairs: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Cosine of out-links weighted by log rarity; of the asked ``pairs`` or ``rows``, as in inlink()."""
+    v = link_vectors(edges, out=True, weighted=True, logged=True)
+    return cosine(v, pairs=pairs) if rows is None else cosine(_of(v, rows), v, pairs).where("a <> b")
 
 
 def milne_witten(ins: DataFrame, outs: DataFrame) -> DataFrame:
@@ -114,11 +125,11 @@ def direct_link(edges: DataFrame) -> DataFrame:
     return fwd.union(fwd.select("b", "a")).where("a <> b").groupBy("a", "b").agg((F.count("*") / 2.0).alias("score"))
 
 
-def syn_rank(edges: DataFrame, n: int, linked: DataFrame | None = None) -> DataFrame:
+def syn_rank(edges: DataFrame, n: int, linked: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, score): N * ab / (a * b) * log10(ab) / hops over in-links; hops is 1 for pages that link one another, else 2."""
     v = link_vectors(edges, out=False)
     c = norms(v)
-    d = dots(v, v).where("a <> b").join(c.select(F.col("row_id").alias("a"), F.col("n").alias("ca")), "a").join(c.select(F.col("row_id").alias("b"), F.col("n").alias("cb")), "b")
+    d = dots(v, v, pairs).where("a <> b").join(c.select(F.col("row_id").alias("a"), F.col("n").alias("ca")), "a").join(c.select(F.col("row_id").alias("b"), F.col("n").alias("cb")), "b")
     hops = F.lit(2)
     if linked is not None:
         both = direct_link(linked).select("a", "b", F.lit(1).alias("one"))
@@ -132,11 +143,12 @@ def cosimilarity(scores: DataFrame, rows: DataFrame, cols: DataFrame, self_score
     return grid.join(scores, ["a", "b"], "left").select("a", "b", F.when(F.col("a") == F.col("b"), self_score).otherwise(F.coalesce("score", F.lit(missing))).alias("score"))
 
 
-def explain(v: DataFrame, k: int = 5) -> DataFrame:
-    """(a, b, rank, col_id, product): for each pair of rows the shared features that count most."""
+def explain(v: DataFrame, k: int = 5, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, rank, col_id, product): for each pair of rows, or each of the asked ``pairs`` (a < b), the shared features that count most."""
     x = v.select(F.col("row_id").alias("a"), "col_id", F.col("value").alias("x"))
     y = v.select(F.col("row_id").alias("b"), "col_id", F.col("value").alias("y"))
-    p = x.join(y, "col_id").where("a < b").select("a", "b", "col_id", (F.col("x") * F.col("y")).alias("product"))
+    j = x.join(y, "col_id") if pairs is None else pairs.select("a", "b").distinct().join(x, "a").join(y, ["b", "col_id"])
+    p = j.where("a < b").select("a", "b", "col_id", (F.col("x") * F.col("y")).alias("product"))
     return top(p, k, [F.desc("product"), F.asc("col_id")], ["a", "b"]).select("a", "b", "rank", "col_id", "product")
 
 

@@ -245,3 +245,74 @@ def merge_matches(old: DataFrame, new: DataFrame) -> DataFrame:
 def distance_levels(pairs: DataFrame, scores: DataFrame, width: float) -> DataFrame:
     """(level, pairs, mean_score): relatedness by distance, level i from i * width metres on."""
     return pairs.join(scores, ["a", "b"]).groupBy(F.floor(F.col("metres") / width).alias("level")).agg(F.count("*").alias("pairs"), F.avg("score").alias("mean_score"))
+
+
+HALF_ROUND = 40_075_017.0 / 2
+
+
+def ordinal_estimates(pairs: DataFrame, nearest_of: DataFrame, total: int, furthest: float = HALF_ROUND) -> DataFrame:
+    """(a, b, ordinal) of any pairs (a, b, metres), from each point's nearest (a, metres): how many of these are nearer.
+
+    Beyond the furthest of them the ordinal grows with the distance, up to ``total`` at ``furthest`` metres.
+    """
+    known = nearest_of.groupBy("a").agg(F.count("*").alias("n"), F.max("metres").alias("edge"))
+    j = pairs.join(known, "a")
+    near = j.where("metres < edge").select("a", "b", F.col("metres").alias("d")).join(nearest_of.select("a", "metres"), "a").groupBy("a", "b").agg(F.sum((F.col("metres") < F.col("d")).cast("int")).cast("double").alias("ordinal"))
+    far = j.where("metres >= edge").select("a", "b", (F.col("n") + (F.col("metres") - F.col("edge")) / (F.lit(furthest) - F.col("edge")) * (F.lit(total) - F.col("n"))).alias("ordinal"))
+    return near.unionByName(far)
+
+
+def region_hops(starts: DataFrame, borders: DataFrame, most: int = 50) -> DataFrame:
+    """(owner, node, hops): how many borders lie between regions, from (owner, node) over (a, b)."""
+    return graph.hops(starts, borders, most)
+
+
+def touching(regions: DataFrame, asked: DataFrame, exclude: DataFrame | None = None, buffer: float = 0.001) -> DataFrame:
+    """(region_id, other): the neighbours of the asked regions, without those to be excluded (region_id)."""
+    b = bordering(regions, buffer)
+    both = b.select(F.col("a").alias("region_id"), F.col("b").alias("other")).unionByName(b.select(F.col("b").alias("region_id"), F.col("a").alias("other")))
+    got = both.join(asked.select("region_id").distinct(), "region_id", "left_semi")
+    return got if exclude is None else got.join(exclude.select(F.col("region_id").alias("other")).distinct(), "other", "left_anti").select("region_id", "other")
+
+
+def intersecting(a: DataFrame, b: DataFrame, cell: float = 5.0) -> DataFrame:
+    """(a, b): regions of two tables of rings that share some point: edges that cross or meet, or one within the other.
+
+    Edges are laid over the cells of a grid that their boxes cover, and meet only those of their cell.
+    """
+
+    def laid(regions: DataFrame, n: str) -> DataFrame:
+        e = rings(regions)
+        low = lambda p, q: F.floor(F.least(p, q) / cell).cast("int")
+        high = lambda p, q: F.floor(F.greatest(p, q) / cell).cast("int")
+        e = e.withColumn("cx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("cy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
+        return e.select("cx", "cy", F.col("region_id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("x1", "y1", "x2", "y2")])
+
+    def side(p: str, q: str) -> Column:
+        """On which side of the edge p its ends of q lie, as the product of the two turns."""
+        turn = lambda x, y: (F.col(f"{p}_x2") - F.col(f"{p}_x1")) * (F.col(f"{q}_{y}") - F.col(f"{p}_y1")) - (F.col(f"{p}_y2") - F.col(f"{p}_y1")) * (F.col(f"{q}_{x}") - F.col(f"{p}_x1"))
+        return F.signum(turn("x1", "y1")) * F.signum(turn("x2", "y2"))
+
+    def apart(c: str) -> Column:
+        p, q = (F.greatest(f"a_{c}1", f"a_{c}2"), F.least(f"a_{c}1", f"a_{c}2")), (F.greatest(f"b_{c}1", f"b_{c}2"), F.least(f"b_{c}1", f"b_{c}2"))
+        return (p[0] < q[1]) | (q[0] < p[1])
+
+    met = laid(a, "a").join(laid(b, "b"), ["cx", "cy"]).where(~apart("x") & ~apart("y") & (side("a", "b") <= 0) & (side("b", "a") <= 0)).select("a", "b")
+    corner = lambda r: r.select(F.col("region_id").alias("id"), F.element_at("path", 1)["lon"].alias("lon"), F.element_at("path", 1)["lat"].alias("lat"))
+    within_b = containing(corner(a), b).select(F.col("id").alias("a"), F.col("region_id").alias("b"))
+    within_a = containing(corner(b), a).select(F.col("region_id").alias("a"), F.col("id").alias("b"))
+    return met.unionByName(within_b).unionByName(within_a).distinct()
+
+
+def geometries(shapes: DataFrame, layer: str | None = None, ref_sys: str | None = None, items: DataFrame | None = None, precision: str | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """Shapes (item_id, layer, ref_sys, precision, ..) by layer, reference system, least precision, items (item_id) or titles (title, item_id).
+
+    Precision is LOW or HIGH; LOW admits both. Without conditions all shapes of all items.
+    """
+    out = shapes
+    for column, value in (("layer", layer), ("ref_sys", ref_sys)):
+        out = out if value is None else out.where(F.col(column) == value)
+    out = out.where(F.col("precision") == "HIGH") if precision == "HIGH" else out
+    for ids in (items, titles):
+        out = out if ids is None else out.join(ids.select("item_id").distinct(), "item_id", "left_semi")
+    return out

@@ -174,7 +174,7 @@ def views_by_region(spark, d):
     return pageviews.views_by_group(B.views(spark, d), held, "region_id")
 
 
-@query()
+@query("SELECT x.i::INTEGER AS a, y.i::INTEGER AS b FROM range(96) x(i) JOIN range(96) y(i) ON x.i < y.i AND abs(x.i % 12 - y.i % 12) <= 1 AND abs(x.i // 12 - y.i // 12) <= 1")
 def bordering_regions(spark, d):
     return spatial.bordering(_boxes(spark).where("ring = 0"))
 
@@ -187,12 +187,21 @@ def geodesic_distances(spark, d):
     return j.select("id", spatial.geodesic(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("metres"))
 
 
-@query()
+def _hops_sql(neighbours: int = 100, most: int = 30) -> str:
+    steps = ["h0 AS MATERIALIZED (SELECT id AS owner, id AS node, 0 AS hops FROM points WHERE id % 20 = 0)", "f0 AS (SELECT * FROM h0)"]
+    for k in range(1, most + 1):
+        steps.append(f"f{k} AS MATERIALIZED (SELECT DISTINCT owner, g.b AS node, {k} AS hops FROM f{k - 1} JOIN g ON g.a = node ANTI JOIN h{k - 1} USING (owner, node))")
+        steps.append(f"h{k} AS MATERIALIZED (SELECT * FROM h{k - 1} UNION ALL SELECT * FROM f{k})")
+    near = f"nb AS (SELECT x.id AS a, y.id AS b FROM points x JOIN points y ON x.id <> y.id QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY round({_M}, 6), y.id) <= {neighbours})"
+    return f"WITH {B.POINTS}, {near}, g AS MATERIALIZED (SELECT a, b FROM nb UNION SELECT b, a FROM nb), {', '.join(steps)} SELECT owner, node, hops::INTEGER AS hops FROM h{most}"
+
+
+@query(_hops_sql(100, 12))
 def neighbour_graph_hops(spark, d):
-    """Hops over the graph of the five nearest places, from every hundredth."""
+    """Hops over the graph of the hundred nearest places, from every twentieth."""
     p = B.points(spark, d)
-    near = graph.cut(spatial.nearest(p, p, 5))
-    return spatial.graph_distance(p.where("id % 100 = 0").select(F.col("id").alias("owner"), F.col("id").alias("node")), near, 6)
+    near = graph.cut(spatial.nearest(p, p, 100))
+    return spatial.graph_distance(p.where("id % 20 = 0").select(F.col("id").alias("owner"), F.col("id").alias("node")), near, 30)
 
 
 # dense vectors -----------------------------------------------------------------------------------------------------------

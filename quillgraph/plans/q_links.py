@@ -45,13 +45,13 @@ def outlink_most_similar(spark, d):
     return similarity.most_similar(similarity.outlink(B.edges(spark, d)), 5).withColumn("score", F.round("score", 6))
 
 
-CUST = "ce AS MATERIALIZED (SELECT DISTINCT o_custkey % 1009 AS source_id, l_suppkey % 1009 AS dest_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+CUST = "ce AS MATERIALIZED (SELECT DISTINCT o_custkey AS source_id, l_suppkey AS dest_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def customer_graph(spark, d):
     """Pages that both link and are linked: customers and suppliers share a space of ids."""
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select((F.col("o_custkey") % 1009).alias("source_id"), (F.col("l_suppkey") % 1009).alias("dest_id")).distinct()
+    return j.select(F.col("o_custkey").alias("source_id"), F.col("l_suppkey").alias("dest_id")).distinct()
 
 
 MW = f"""{CUST}, ideg AS (SELECT dest_id AS id, count(*) AS n FROM ce GROUP BY ALL), np AS (SELECT count(*)::DOUBLE + 1000 AS n FROM ideg),
@@ -86,11 +86,11 @@ def direct_link(spark, d):
 
 
 @query(f"""WITH {MW}, both_ways AS (SELECT DISTINCT source_id AS a, dest_id AS b FROM ce UNION SELECT dest_id, source_id FROM ce)
-SELECT ip.a, ip.b, round(1009.0::DOUBLE * ab / (p.n * q.n) * log10(ab::DOUBLE) / (CASE WHEN l.a IS NULL THEN 2 ELSE 1 END), 6) AS score
+SELECT ip.a, ip.b, round(2000.0::DOUBLE * ab / (p.n * q.n) * log10(ab::DOUBLE) / (CASE WHEN l.a IS NULL THEN 2 ELSE 1 END), 6) AS score
 FROM ip JOIN ideg p ON p.id = ip.a JOIN ideg q ON q.id = ip.b LEFT JOIN both_ways l ON l.a = ip.a AND l.b = ip.b AND l.a <> l.b""")
 def syn_rank(spark, d):
     e = customer_graph(spark, d)
-    return similarity.syn_rank(e, 1009, e).select("a", "b", r("score"))
+    return similarity.syn_rank(e, 2000, e).select("a", "b", r("score"))
 
 
 @query(f"""WITH {B.EDGES}, deg AS (SELECT dest_id, count(*)::DOUBLE AS n FROM e GROUP BY ALL), v AS (SELECT source_id, e.dest_id, 1 / n AS v FROM e JOIN deg USING (dest_id)),
@@ -242,10 +242,10 @@ def compare_stores(spark, d):
     return links.compare_stores(x.where("lang_id <= 2").select("source_id", "dest_id").distinct(), x.where("lang_id >= 2").select("source_id", "dest_id").distinct())
 
 
-@query(f"""WITH {CUST}, u AS (SELECT source_id AS a, dest_id AS b FROM ce UNION SELECT dest_id, source_id FROM ce), p AS (SELECT DISTINCT o_custkey % 1009 AS a, c_nationkey::BIGINT AS b FROM orders JOIN customer ON o_custkey = c_custkey)
+@query(f"""WITH {CUST}, u AS (SELECT source_id AS a, dest_id AS b FROM ce UNION SELECT dest_id, source_id FROM ce), p AS (SELECT DISTINCT o_custkey AS a, c_nationkey::BIGINT AS b FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT p.a, p.b, (CASE WHEN u.a IS NULL THEN 2 ELSE 1 END)::INTEGER AS hops FROM p LEFT JOIN u ON u.a = p.a AND u.b = p.b""")
 def hop_distance(spark, d):
-    p = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select((F.col("o_custkey") % 1009).alias("a"), F.col("c_nationkey").cast("long").alias("b")).distinct()
+    p = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("a"), F.col("c_nationkey").cast("long").alias("b")).distinct()
     return links.hop_distance(p, customer_graph(spark, d))
 
 

@@ -128,7 +128,11 @@ def tf_idf_vectors(spark, d):
     return phrases.tf_idf(phrases.term_index(docs), docs.count(), 5, 0.5).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(f"""WITH {INDEX}, dq AS (SELECT term, df, ln(n / (df + 1)) + 1 AS idf FROM df, nd WHERE df >= 2 AND df <= 0.05::DOUBLE * n), bx AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{B.TOKEN}')) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id, term, tf * idf AS w, idf FROM bx JOIN dq USING (term) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY tf * idf DESC, term) <= 20), sz AS (SELECT doc_id, sum(tf)::DOUBLE AS size FROM ix GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(sqrt(tf::DOUBLE) * idf * w / sqrt(size)) AS score FROM q JOIN ix USING (term) JOIN sz USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER o AS rank, lead(score, 100) OVER o AS ahead, max(score) OVER (PARTITION BY item_id) AS best FROM s WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 1000),
+e AS (SELECT *, min(CASE WHEN ahead IS NOT NULL AND score - ahead < 0.005 * best THEN rank END) OVER (PARTITION BY item_id) AS stop FROM r), k AS (SELECT * FROM e WHERE stop IS NULL OR rank <= stop)
+SELECT item_id AS row_id, doc_id AS col_id, round(score / sqrt(sum(score * score) OVER (PARTITION BY item_id)), 6) AS value FROM k""")
 def text_concepts(spark, d):
     """Benchmark texts as vectors of the documents that their terms hit."""
     docs = B.docs(spark, d)
@@ -171,10 +175,12 @@ def titles_and_urls(spark, d):
     return p.select("p_partkey", "p_name", title.alias("t"), url.alias("url")).select(F.col("p_partkey").alias("page_id"), F.regexp_replace("t", " #Section 1$", "").alias("title"), "url", T.url_parts(F.col("url"))["title"].alias("back"))
 
 
-@query("""SELECT doc_id, lower(source) LIKE 'list%' OR regexp_matches(source, '^[0-9]+$') AS blacklisted, trim(lower(regexp_replace(substr(coalesce(text, ''), 1, 80), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS normal FROM documents""")
+@query("""SELECT doc_id, lower(source) LIKE 'list%' OR regexp_matches(source, '^[0-9]+$') AS blacklisted, length(n) AS n_chars, md5(n) AS normal FROM (SELECT doc_id, source, trim(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS n FROM documents)""")
 def normal_forms(spark, d):
+    """Normal forms of whole texts, by length and digest."""
     x = table(spark, d, "documents")
-    return x.select("doc_id", filters.is_blacklisted(F.col("source")).alias("blacklisted"), T.normalise(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("normal"))
+    n = x.select("doc_id", "source", T.normalise(F.coalesce("text", F.lit(""))).alias("n"))
+    return n.select("doc_id", filters.is_blacklisted(F.col("source")).alias("blacklisted"), F.char_length("n").cast("long").alias("n_chars"), F.md5("n").alias("normal"))
 
 
 # markup ------------------------------------------------------------------------------------------------------------------
@@ -210,10 +216,10 @@ def markup_text(spark, d):
 
 
 def _known(spark, d):
-    """Phrases with their link probability, senses with priors and relatedness of pages, from the benchmark's words."""
+    """Phrases of one to three words with their link probability, senses with priors and relatedness of pages, from the benchmark's texts."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    ix = phrases.term_index(b)
-    known = phrases.link_probability(B.docs(spark, d), ix.groupBy(F.col("term").alias("phrase")).agg(F.sum("tf").alias("n_links")), 1).select("phrase", "prob")
+    ix = b.select("doc_id", F.explode(T.ngrams(T.tokens(F.lower("text")), 1, 3)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    known = phrases.link_probability(B.docs(spark, d), ix.groupBy(F.col("term").alias("phrase")).agg(F.sum("tf").alias("n_links")), 3).select("phrase", "prob")
     senses = phrases.prune(ix.select(F.col("term").alias("phrase"), F.col("doc_id").alias("page_id"), F.col("tf").alias("count")), "phrase", "page_id", max_rank=3).select("phrase", "page_id", (F.col("count") / F.col("total")).alias("prob"))
     from ..operators.similarity import cosine
 
@@ -229,20 +235,20 @@ def _degrees(senses):
 def wikify_documents(spark, d):
     """Spans of every document linked to pages."""
     known, senses, scores = _known(spark, d)
-    return wikify.milne_witten(B.docs(spark, d), known, senses, scores, _degrees(senses), longest=1, least=0.001, final=1e-6).withColumn("score", F.round("score", 9))
+    return wikify.milne_witten(B.docs(spark, d), known, senses, scores, _degrees(senses), longest=3, least=0.001, final=1e-6).withColumn("score", F.round("score", 9))
 
 
 @query()
 def wikify_combined(spark, d):
     known, senses, scores = _known(spark, d)
-    return wikify.combined(B.docs(spark, d), known, senses, scores, longest=1, least=0.001, final=1e-9).withColumn("score", F.round("score", 9))
+    return wikify.combined(B.docs(spark, d), known, senses, scores, longest=3, least=0.001, final=1e-9).withColumn("score", F.round("score", 9))
 
 
 @query()
 def phrase_tokens(spark, d):
     """Documents cut into known phrases and single words."""
     known, _, _ = _known(spark, d)
-    return wikify.phrase_tokens(B.docs(spark, d), known, 1).groupBy("token").agg(F.count("*").alias("n"))
+    return wikify.phrase_tokens(B.docs(spark, d), known, 3).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -254,6 +260,6 @@ def learnt_phrases(spark, d):
 
 @query()
 def word_vectors(spark, d):
-    """Skip-gram vectors of the conversations' words: how many words have one."""
+    """Skip-gram vectors of the conversations' words, of length 1 each."""
     s = table(spark, d, "conversations").select(T.tokens(F.lower("text")).alias("words"))
-    return models.skip_gram(s, size=32, min_count=3, rounds=1).select("word", F.size("embedding").alias("n"))
+    return models.skip_gram(s, size=32, min_count=3, rounds=1).select("word", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
