@@ -5,8 +5,8 @@ covariance determinant gives a centre and scatter: from several starts, concentr
 of the documents nearest by Mahalanobis distance and re-estimate from those, and the start with the least determinant
 counts. Documents far from the centre of their group are rejected.
 
-All steps are aggregates by group: medians and cuts come from counts over fine fixed bins, so that no group is ever
-gathered, results don't depend on order, and rows never leave the JVM. Rows carry a salt, and what is known of a group is
+All steps are aggregates by group: medians and cuts come from counts over fine fixed bins, means and scatter from sums over
+the bins of distance up to the cut, so that no group is ever gathered, results don't depend on order, and rows never leave the JVM. Rows carry a salt, and what is known of a group is
 laid out over the salts where rows are joined with it, so that a large group's rows are spread over tasks.
 """
 
@@ -115,10 +115,23 @@ def _quantile(counts: DataFrame, keys: list[str], share: float, name: str) -> Da
     return at.groupBy(*keys).agg(F.min("bin").alias(name))
 
 
-def _params(rows: DataFrame) -> DataFrame:
-    """(g, s, m0.., k00..): for each group and start the means and the inverse of the scatter's Cholesky factor; logdet."""
-    cov = [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)]
-    p = rows.groupBy("g", "s").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(_D)], *cov)
+def _moments(near: DataFrame) -> DataFrame:
+    """(g, s, bin, n, t.., q..): for each bin of distances how many there are and the sums of the statistics and of their products."""
+    sums = [F.sum(f"x{i}").alias(f"t{i}") for i in range(_D)]
+    return near.groupBy("g", "s", "bin").agg(F.count("*").alias("n"), *sums, *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(_D) for j in range(i + 1)])
+
+
+def _params(bins: DataFrame) -> DataFrame:
+    """(g, s, m0.., k00.., logdet): the means and the inverse of the scatter's Cholesky factor of the share COVERAGE in the first bins.
+
+    ``bins`` are moments, a few hundred rows for each group and start; so a concentration step is one aggregate of the rows.
+    """
+    whole = Window.partitionBy("g", "s")
+    up = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    core = bins.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("all", F.sum("n").over(whole)).where(F.col("before") < F.col("all") * COVERAGE)
+    sums = [F.sum(c).alias(c) for c in ("n", *(f"t{i}" for i in range(_D)), *(f"q{i}{j}" for i in range(_D) for j in range(i + 1)))]
+    p = core.groupBy("g", "s").agg(*sums).select("g", "s", "n", *[(F.col(f"t{i}") / F.col("n")).alias(f"m{i}") for i in range(_D)], *[f"q{i}{j}" for i in range(_D) for j in range(i + 1)])
+    p = p.select("g", "s", *[f"m{i}" for i in range(_D)], *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in range(_D) for j in range(i + 1)])
     for i in range(_D):  # Cholesky: a row of L after the other
         for j in range(i):
             s = F.col(f"c{i}{j}")
@@ -172,15 +185,12 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     near = near.select("g", "z", *x, "e.s", "e.d").withColumn("bin", _log_bin(F.col("d")))
     params = None
     for step in range(STEPS + 1):
-        counts = near.groupBy("g", "s", "bin").agg(F.count("*").alias("n"))
-        cut = scratch.put(_quantile(counts, ["g", "s"], COVERAGE, "cut"), f"cut{step}")
-        params = scratch.put(_params(near.join(_salted(cut), ["g", "s", "z"]).where("bin <= cut")), f"params{step}")
+        params = scratch.put(_params(_moments(near)), f"params{step}")
         near = rows.join(_salted(params), ["g", "z"]).withColumn("d", _distance()).select("g", "z", "s", *x, "d").withColumn("bin", _log_bin(F.col("d")))
-    best = scratch.put(params.groupBy("g").agg(F.min(F.struct("logdet", "s")).alias("b")).select("g", "b.s"), "best")
-    chosen = params.join(best, ["g", "s"]).drop("s", "logdet")
-    counts = near.join(_salted(best), ["g", "s", "z"]).groupBy("g", "bin").agg(F.count("*").alias("n"))
+    best = params.groupBy("g").agg(F.min_by(F.struct(*[c for c in params.columns if c != "g"]), F.struct("logdet", "s")).alias("b")).select("g", "b.*").drop("logdet")
+    counts = near.join(_salted(best.select("g", "s")), ["g", "s", "z"]).groupBy("g", "bin").agg(F.count("*").alias("n"))
     mid = _quantile(counts, ["g"], 0.5, "mid").select("g", (F.lit(_MEDIAN) / F.exp((F.col("mid") + 0.5) / _LOG_BIN)).alias("scale"))
-    return scratch.put(chosen.join(mid, "g"), "estimates")
+    return scratch.put(best.drop("s").join(mid, "g"), "estimates")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -199,7 +209,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_
     same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("z") == F.col("__z"))
     named = _salted(groups).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("z").alias("__z"), "g", "feeds")
     grouped = rows.join(named, same, "left").drop("__l", "__s", "__z")
-    passed = scratch.put(grouped.where("not base_failed").select(F.explode("feeds").alias("g"), "z", *[f"x{i}" for i in range(_D)]), "vectors")
+    passed = grouped.where("not base_failed").select(F.explode("feeds").alias("g"), "z", *[f"x{i}" for i in range(_D)])
     found = estimates(passed, scratch)
     got = grouped.join(_salted(found), ["g", "z"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
