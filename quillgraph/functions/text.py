@@ -53,6 +53,13 @@ def normalise(t: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")))
 
 
+def stemmed(t: Column, lang: str = "en") -> Column:
+    """The normal form with each word's stem."""
+    from .stem import stem
+
+    return F.array_join(F.transform(F.split(normalise(t), " "), lambda w: stem(w, lang)), " ")
+
+
 def fold_case(t: Column) -> Column:
     return F.lower(F.trim(t))
 

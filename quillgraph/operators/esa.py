@@ -53,3 +53,20 @@ def known_phrases(store: DataFrame | None, fresh: DataFrame) -> DataFrame:
     """(phrase_id, phrase, col_id, value): vectors of phrases added to a store; a phrase that is there stays as it is."""
     new = fresh.select(F.xxhash64(F.lower(F.trim("phrase"))).alias("phrase_id"), "phrase", "col_id", "value")
     return new if store is None else store.unionByName(new.join(store.select("phrase_id").distinct(), "phrase_id", "left_anti"))
+
+
+MODES = ("none", "generator", "creator", "both")
+
+
+def phrase_vectors_by(mode: str, phrases_: DataFrame, generated: DataFrame, created: DataFrame, senses: DataFrame, pages: DataFrame) -> DataFrame:
+    """(phrase, col_id, value): the vectors of phrases by mode: what a generator has for them, what is created from candidates, or both in turn.
+
+    Where that gives none, and always in mode "none", a phrase has the vector of the page that it most likely means: ``senses``
+    is (phrase, page_id, rank), ``pages`` vectors (row_id, col_id, value).
+    """
+    if mode not in MODES:
+        raise ValueError(mode)
+    best = senses.where("rank = 1").select(F.col("page_id").alias("row_id"), "phrase").join(pages, "row_id").select(F.col("phrase").alias("row_id"), "col_id", "value")
+    tables = ([generated] if mode in ("generator", "both") else []) + ([created] if mode in ("creator", "both") else []) + [best]
+    asked = phrases_.select(F.col("phrase").alias("row_id")).distinct()
+    return best_of(*tables).join(asked, "row_id", "left_semi").select(F.col("row_id").alias("phrase"), "col_id", "value")

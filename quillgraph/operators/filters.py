@@ -176,3 +176,21 @@ def drop_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 def map_features(vectors: DataFrame, value: Column) -> DataFrame:
     """A vector-to-vector hook: a new value for each entry; entries that become null or 0 go."""
     return vectors.withColumn("value", value).where("value is not null and value <> 0")
+
+
+@dataclass
+class LanguageFilter:
+    """Category members or redirects: what these tables are scanned by is the language, and the number of rows."""
+
+    langs: Iterable | None = None
+    limit: int | None = None
+
+    def apply(self, table: DataFrame) -> DataFrame:
+        out = table.where(_all(_among("lang_id", self.langs)))
+        return out if self.limit is None else out.limit(self.limit)
+
+
+def redirect_flags(pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(page_id, redirects): whether each asked page is a redirect."""
+    known = redirects.select(F.col("src_page_id").alias("page_id")).distinct().withColumn("redirects", F.lit(True))
+    return pages.select("page_id").join(known, "page_id", "left").withColumn("redirects", F.coalesce("redirects", F.lit(False)))

@@ -145,3 +145,25 @@ def multi_get(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 def top(df: DataFrame, k: int, by: list, keys: list[str], rank: str = "rank") -> DataFrame:
     """The k first rows of each key; ``by`` must end in an id so that ties are settled."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col(rank) <= k)
+
+
+def single_edges(asked: DataFrame, links: DataFrame) -> DataFrame:
+    """The first link, by place in the text, of each asked (lang_id, source_id, dest_id); nulls where there is none."""
+    keys = ["lang_id", "source_id", "dest_id"]
+    rest = [c for c in links.columns if c not in keys]
+    first = links.groupBy(*keys).agg(F.min(F.struct("location", *[c for c in rest if c != "location"])).alias("e"))
+    return asked.select(*keys).distinct().join(first, keys, "left").select(*keys, *[F.col(f"e.{c}").alias(c) for c in rest])
+
+
+def languages_of(ills: DataFrame, pages: DataFrame, outward: bool = True) -> DataFrame:
+    """(lang_id, page_id, others): for each asked page (lang_id, page_id) the sorted pages that it links to in other languages, or that link to it."""
+    here, there = ("source", "dest") if outward else ("dest", "source")
+    e = ills.select(F.col(f"{here}_lang").alias("lang_id"), F.col(f"{here}_id").alias("page_id"), F.struct(F.col(f"{there}_lang").alias("lang_id"), F.col(f"{there}_id").alias("page_id")).alias("o"))
+    found = e.groupBy("lang_id", "page_id").agg(F.sort_array(F.collect_set("o")).alias("others"))  # a page has a link or two for each language
+    return pages.select("lang_id", "page_id").distinct().join(found, ["lang_id", "page_id"], "left").withColumn("others", F.coalesce("others", F.array().cast(found.schema["others"].dataType)))
+
+
+def category_targets(parsed: DataFrame, pages: DataFrame) -> DataFrame:
+    """Category links (lang_id, article_id, category) with the id of the category's page, -1 where none has that title."""
+    c = pages.where("name_space = 14").select("lang_id", F.col("title").alias("category"), F.col("page_id").alias("category_id"))
+    return parsed.join(c, ["lang_id", "category"], "left").withColumn("category_id", F.coalesce("category_id", F.lit(-1)))

@@ -179,18 +179,32 @@ def bordering_regions(spark, d):
     return spatial.bordering(_boxes(spark).where("ring = 0"))
 
 
-@query()
+def _geodesic_sql(rounds: int = 12) -> str:
+    """Vincenty's inverse formula, round by round."""
+    flat, wide = "(1 / 298.257223563::DOUBLE)", "6378137.0::DOUBLE"
+    low, keep = f"((1 - {flat}) * {wide})", "id, x1, y1, x2, y2, su1, cu1, su2, cu2"
+    at = f"v0 AS MATERIALIZED (SELECT *, sin(atan((1 - {flat}) * tan(y1))) AS su1, cos(atan((1 - {flat}) * tan(y1))) AS cu1, sin(atan((1 - {flat}) * tan(y2))) AS su2, cos(atan((1 - {flat}) * tan(y2))) AS cu2, x2 - x1 AS lam FROM (SELECT p.id, radians(p.lon) AS x1, radians(p.lat) AS y1, radians(q.lon) AS x2, radians(q.lat) AS y2 FROM points p JOIN points q ON q.id + 1 = p.id))"
+    for k in range(1, rounds + 1):
+        at += f""", a{k} AS (SELECT {keep}, lam, sqrt((cu2 * sin(lam)) ^ 2 + (cu1 * su2 - su1 * cu2 * cos(lam)) ^ 2) AS ss, su1 * su2 + cu1 * cu2 * cos(lam) AS cs FROM v{k - 1}),
+b{k} AS (SELECT *, atan2(ss, cs) AS sig, CASE WHEN ss > 0 THEN cu1 * cu2 * sin(lam) / ss ELSE 0 END AS sa FROM a{k}), c{k} AS (SELECT *, 1 - sa ^ 2 AS ca2, CASE WHEN 1 - sa ^ 2 > 0 THEN cs - 2 * su1 * su2 / (1 - sa ^ 2) ELSE 0 END AS cm FROM b{k}),
+d{k} AS (SELECT *, {flat} / 16 * ca2 * (4 + {flat} * (4 - 3 * ca2)) AS k FROM c{k}), v{k} AS MATERIALIZED (SELECT {keep}, ss, cs, sig, ca2, cm, x2 - x1 + (1 - k) * {flat} * sa * (sig + k * ss * (cm + k * cs * (-1 + 2 * cm ^ 2))) AS lam, lam AS was FROM d{k})"""
+    return f"""WITH {B.POINTS}, {at}, q AS (SELECT *, ca2 * ({wide} ^ 2 - {low} ^ 2) / {low} ^ 2 AS q FROM v{rounds}), e AS (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS e, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS f FROM q),
+g AS (SELECT id, abs(lam - was) AS change, {low} * e * (sig - f * ss * (cm + f / 4 * (cs * (-1 + 2 * cm ^ 2) - f / 6 * cm * (-3 + 4 * ss ^ 2) * (-3 + 4 * cm ^ 2)))) AS got, 2 * 6372800.0::DOUBLE * asin(sqrt(least(1.0, sin((y2 - y1) / 2) ^ 2 + cos(y1) * cos(y2) * sin((x2 - x1) / 2) ^ 2))) AS sphere FROM e)
+SELECT id, round(CASE WHEN change < 1e-9 AND isfinite(got) THEN got ELSE sphere END, 3) AS metres FROM g"""
+
+
+@query(_geodesic_sql())
 def geodesic_distances(spark, d):
     """Metres on the ellipsoid between each place and the one before it."""
     p = B.points(spark, d)
     j = p.join(p.select((F.col("id") + 1).alias("id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2")), "id")
-    return j.select("id", spatial.geodesic(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("metres"))
+    return j.select("id", F.round(spatial.geodesic(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 3).alias("metres"))
 
 
 def _hops_sql(neighbours: int = 100, most: int = 30) -> str:
     steps = ["h0 AS MATERIALIZED (SELECT id AS owner, id AS node, 0 AS hops FROM points WHERE id % 20 = 0)", "f0 AS (SELECT * FROM h0)"]
     for k in range(1, most + 1):
-        steps.append(f"f{k} AS MATERIALIZED (SELECT DISTINCT owner, g.b AS node, {k} AS hops FROM f{k - 1} JOIN g ON g.a = node ANTI JOIN h{k - 1} USING (owner, node))")
+        steps.append(f"f{k} AS MATERIALIZED (SELECT DISTINCT owner, node, {k} AS hops FROM (SELECT owner, g.b AS node FROM f{k - 1} x JOIN g ON g.a = x.node) ANTI JOIN h{k - 1} USING (owner, node))")
         steps.append(f"h{k} AS MATERIALIZED (SELECT * FROM h{k - 1} UNION ALL SELECT * FROM f{k})")
     near = f"nb AS (SELECT x.id AS a, y.id AS b FROM points x JOIN points y ON x.id <> y.id QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY round({_M}, 6), y.id) <= {neighbours})"
     return f"WITH {B.POINTS}, {near}, g AS MATERIALIZED (SELECT a, b FROM nb UNION SELECT b, a FROM nb), {', '.join(steps)} SELECT owner, node, hops::INTEGER AS hops FROM h{most}"

@@ -611,3 +611,94 @@ def relatedness_by_distance(spark, d):
     p = B.points(spark, d)
     w = spatial.within(p.where("id % 20 = 0"), p, 2_000_000.0).where("a <> b").withColumn("metres", F.round("metres", 3))
     return spatial.distance_levels(w, _direct(spark, d), 250_000.0).select("level", "pairs", r("mean_score"))
+
+
+# scans, lookups and metrics -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT (p_partkey % 4 + 1)::INTEGER AS lang_id, p_size::BIGINT AS category_id, p_partkey AS article_id FROM part WHERE p_partkey % 4 + 1 IN (2, 3)")
+def category_scan(spark, d):
+    m = B.members(spark, d).withColumn("lang_id", (F.col("article_id") % 4 + 1).cast("int"))
+    return filters.LanguageFilter([2, 3]).apply(m).select("lang_id", "category_id", "article_id")
+
+
+@query(f"WITH {B.REDIRECTS} SELECT (src_page_id % 4 + 1)::INTEGER AS lang_id, src_page_id, dest_page_id FROM redirects WHERE src_page_id % 4 + 1 = 1")
+def redirect_scan(spark, d):
+    m = B.redirects(spark, d).withColumn("lang_id", (F.col("src_page_id") % 4 + 1).cast("int"))
+    return filters.LanguageFilter([1]).apply(m).select("lang_id", "src_page_id", "dest_page_id")
+
+
+@query(f"WITH {B.PAGES}, {B.REDIRECTS} SELECT page_id, page_id IN (SELECT src_page_id FROM redirects) AS redirects FROM pages")
+def redirect_predicate(spark, d):
+    return filters.redirect_flags(B.pages(spark, d), B.redirects(spark, d))
+
+
+@query(f"""WITH {B.LINKS}, a AS (SELECT DISTINCT lang_id, source_id, dest_id FROM links WHERE source_id % 20 = 0 UNION SELECT DISTINCT lang_id, source_id, dest_id + 1000000 FROM links WHERE source_id % 20 = 0), f AS (SELECT lang_id, source_id, dest_id, arg_min(anchor_text, (location, anchor_text)) AS anchor_text, min(location) AS location FROM links GROUP BY ALL)
+SELECT a.lang_id, a.source_id, a.dest_id, anchor_text, location FROM a LEFT JOIN f USING (lang_id, source_id, dest_id)""")
+def single_links(spark, d):
+    """The first link between two pages, also asked for where there is none."""
+    x = B.links(spark, d).select("lang_id", "source_id", "dest_id", "location", "anchor_text")
+    some = x.where("source_id % 20 = 0")
+    asked = some.select("lang_id", "source_id", "dest_id").union(some.select("lang_id", "source_id", F.col("dest_id") + 1_000_000))
+    return links.single_edges(asked, x).select("lang_id", "source_id", "dest_id", "anchor_text", "location")
+
+
+@query(f"""WITH {B.PAGES}, {ILLS}, o AS (SELECT source_lang AS lang_id, source_id AS page_id, count(DISTINCT (dest_lang, dest_id)) AS n, min((dest_lang, dest_id)) AS f FROM ills GROUP BY ALL), i AS (SELECT dest_lang AS lang_id, dest_id AS page_id, count(DISTINCT (source_lang, source_id)) AS n FROM ills GROUP BY ALL)
+SELECT p.lang_id, p.page_id, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in FROM pages p LEFT JOIN o USING (lang_id, page_id) LEFT JOIN i USING (lang_id, page_id)""")
+def linked_languages(spark, d):
+    """What each page links to in other languages, and what links to it."""
+    ills, p = _ills(spark, d), B.pages(spark, d)
+    out = links.languages_of(ills, p).select("lang_id", "page_id", F.size("others").cast("long").alias("n_out"))
+    return out.join(links.languages_of(ills, p, outward=False).select("lang_id", "page_id", F.size("others").cast("long").alias("n_in")), ["lang_id", "page_id"])
+
+
+@query(f"WITH {B.PAGES}, c AS (SELECT (p_partkey % 4 + 1)::INTEGER AS lang_id, p_partkey AS article_id, p_brand || ' ' || (p_size * 10)::VARCHAR AS category FROM part) SELECT c.lang_id, article_id, category, coalesce(page_id, -1) AS category_id FROM c LEFT JOIN pages p ON p.lang_id = c.lang_id AND p.title = category AND p.name_space = 14")
+def category_pages_by_title(spark, d):
+    """Category links by title, matched with pages of the category namespace only."""
+    c = table(spark, d, "part").select((F.col("p_partkey") % 4 + 1).cast("int").alias("lang_id"), F.col("p_partkey").alias("article_id"), F.concat("p_brand", F.lit(" "), (F.col("p_size") * 10).cast("string")).alias("category"))
+    return links.category_targets(c, B.pages(spark, d)).select("lang_id", "article_id", "category", "category_id")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT id AS a, id + 3 AS b FROM v WHERE id % 2 = 0)
+SELECT p.a, p.b, round(CASE WHEN x.v IS NOT NULL AND y.v IS NOT NULL THEN coalesce(list_cosine_similarity(x.v, y.v), 0) END, 6) AS score FROM p LEFT JOIN v x ON x.id = a LEFT JOIN v y ON y.id = b""")
+def dense_metric_pairs(spark, d):
+    v = _vectors(spark, d)
+    return knn.DenseMetric(v).similarity(v.where("id % 2 = 0").select(F.col("id").alias("a"), (F.col("id") + 3).alias("b"))).select("a", "b", r("score"))
+
+
+@query(f"""WITH {DENSE}, m AS (SELECT q.id AS a, c.id AS b, list_cosine_similarity(q.v, c.v) AS s, 1.0::DOUBLE / (1 + abs(q.id - c.id)) AS t FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 20 = 0),
+x AS (SELECT a, b FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 500 UNION SELECT a, b FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY t DESC, b) <= 500), w AS (SELECT a, b, (3 * s + t) / 4 AS score FROM m SEMI JOIN x USING (a, b))
+SELECT a, row_number() OVER o::INTEGER AS rank, b, round(score, 6) AS score FROM w WINDOW o AS (PARTITION BY a ORDER BY round(score, 9) DESC, b) QUALIFY row_number() OVER o <= 10""")
+def ensemble_neighbours(spark, d):
+    """Two metrics as one: candidates of each, scored by both."""
+    v = _vectors(spark, d)
+
+    class Near:
+        """Ids that are near in number."""
+
+        def similarity(self, pairs):
+            return pairs.select("a", "b", (F.lit(1.0) / (1 + F.abs(F.col("a") - F.col("b")))).alias("score"))
+
+        def most_similar(self, ids, k):
+            # stated queries and ids alone
+            pairs = ids.select(F.col("id").alias("a")).join(knn.unit(v).select(F.col("id").alias("b")), F.col("a") != F.col("b"))
+            return similarity.most_similar(self.similarity(pairs), k)
+
+    parts = {"vectors": knn.DenseMetric(v), "near": Near()}
+    return ensemble.EnsembleMetric(parts, {"vectors": 3.0, "near": 1.0}).most_similar(knn.unit(v).where("id % 20 = 0").select("id"), 10).select("a", "rank", "b", r("score"))
+
+
+@query(f"""WITH {RES}, {B.EDGES}, pv AS (SELECT dest_id AS row_id, source_id AS col_id, 1.0::DOUBLE AS value FROM e WHERE dest_id < 60), g AS (SELECT phrase, page_id AS col_id, 2.0::DOUBLE AS value FROM rs WHERE rank <= 2 AND page_id % 2 = 0), k AS (SELECT phrase, page_id AS col_id, 3.0::DOUBLE AS value FROM rs WHERE rank <= 3 AND page_id % 3 = 0),
+b AS (SELECT phrase, col_id, value FROM rs JOIN pv ON row_id = page_id WHERE rank = 1), gk AS (SELECT * FROM g UNION ALL SELECT * FROM k WHERE phrase NOT IN (SELECT phrase FROM g))
+SELECT 'both' AS mode, phrase, col_id, value FROM (SELECT * FROM gk UNION ALL SELECT * FROM b WHERE phrase NOT IN (SELECT phrase FROM gk)) UNION ALL SELECT 'generator', phrase, col_id, value FROM (SELECT * FROM g UNION ALL SELECT * FROM b WHERE phrase NOT IN (SELECT phrase FROM g)) UNION ALL SELECT 'none', phrase, col_id, value FROM b""")
+def phrase_vectors_by_mode(spark, d):
+    """Phrases' vectors from a generator, from candidates or from the page they most likely mean."""
+    s = _resolved(spark, d)
+    pages = B.edges(spark, d).where("dest_id < 60").select(F.col("dest_id").alias("row_id"), F.col("source_id").alias("col_id"), F.lit(1.0).alias("value"))
+    g = s.where("rank <= 2 and page_id % 2 = 0").select(F.col("phrase").alias("row_id"), F.col("page_id").alias("col_id"), F.lit(2.0).alias("value"))
+    k = s.where("rank <= 3 and page_id % 3 = 0").select(F.col("phrase").alias("row_id"), F.col("page_id").alias("col_id"), F.lit(3.0).alias("value"))
+    out = None
+    for mode in ("both", "generator", "none"):
+        part = esa.phrase_vectors_by(mode, s.select("phrase"), g, k, s, pages).select(F.lit(mode).alias("mode"), "phrase", "col_id", "value")
+        out = part if out is None else out.unionByName(part)
+    return out

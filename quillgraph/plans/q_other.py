@@ -132,7 +132,7 @@ def majority_ids(spark, d):
 
 
 @query("""WITH l AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) AS w FROM documents), x AS MATERIALIZED (SELECT doc_id, unnest(w) AS w FROM l), n AS (SELECT count(*)::DOUBLE AS n FROM l),
-f AS MATERIALIZED (SELECT w, count(*) AS f, row_number() OVER (ORDER BY count(*) DESC, w) - 20 AS r FROM x GROUP BY ALL QUALIFY r BETWEEN 1 AND 500), c AS MATERIALIZED (SELECT doc_id, w, f, r FROM x JOIN f USING (w)),
+k0 AS (SELECT w, count(*) AS f FROM x GROUP BY ALL), f AS MATERIALIZED (SELECT w, f, r FROM (SELECT w, f, row_number() OVER (ORDER BY f DESC, w) - 20 AS r FROM k0) WHERE r BETWEEN 1 AND 500), c AS MATERIALIZED (SELECT doc_id, w, f, r FROM x JOIN f USING (w)),
 p AS (SELECT a.w AS phrase1, b.w AS phrase2, ln(count(*) * any_value(n.n) / (any_value(a.f) * any_value(b.f))) AS pmi FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.w <> b.w CROSS JOIN n WHERE a.r <= 50 GROUP BY a.w, b.w),
 k AS (SELECT *, row_number() OVER (PARTITION BY phrase1 ORDER BY pmi DESC, phrase2) AS place FROM p) SELECT phrase1, phrase2, round(pmi, 6) AS pmi, place::INTEGER AS place FROM k WHERE place IN (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)""")
 def synthetic_gold(spark, d):

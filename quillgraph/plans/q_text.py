@@ -147,7 +147,16 @@ def content_words(spark, d):
     return e.select("doc_id", F.size(stem.analyse(F.col("text"), "en", stems=False)).cast("long").alias("n"))
 
 
-@query()
+def _stems_sql() -> str:
+    stops = " OR ".join(f"(lang = '{lang}' AND list_contains({T.STOP[lang]}, w))" for lang in ("en", "de", "fr", "es"))
+    ends = " ".join(f"WHEN lang = '{lang}' THEN regexp_replace(w, '^(.*?\\p{{L}}{{3}})(?:{'|'.join(stem.ENDINGS[lang])})$', '\\1')" for lang in ("de", "fr", "es"))
+    return f"""WITH {B.TOKENS}, x AS (SELECT lang, unnest(t) AS w FROM toks WHERE lang IN ('en', 'de', 'fr', 'es')), k AS (SELECT * FROM x WHERE NOT ({stops})),
+a AS (SELECT lang, w, CASE WHEN lang <> 'en' THEN w WHEN w LIKE '%sses' THEN w[:-3] WHEN w LIKE '%ies' THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') THEN w[:-2] ELSE w END AS t FROM k), b AS (SELECT *, regexp_replace(t, '(ed|ing)$', '') AS c FROM a),
+e AS (SELECT *, CASE WHEN lang = 'en' AND c <> t AND regexp_matches(c, '[aeiouy]') THEN CASE WHEN regexp_matches(c, '(at|bl|iz)$') THEN c || 'e' WHEN length(c) > 1 AND c[-1] = c[-2:-2] AND NOT contains('aeiouylsz', c[-1]) THEN c[:-2] ELSE c END ELSE t END AS d FROM b)
+SELECT lang, CASE WHEN lang = 'en' THEN CASE WHEN regexp_matches(d, '[aeiouy].*y$') THEN d[:-2] || 'i' ELSE d END {ends} END AS term, count(*) AS n FROM e GROUP BY ALL"""
+
+
+@query(_stems_sql())
 def stemmed_terms(spark, d):
     """Terms of each language after stop words and stems."""
     out = None

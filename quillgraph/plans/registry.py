@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..functions import text
-from ..operators import ensemble, knn, normalize, phrases, similarity, wikify
+from ..operators import ensemble, esa, knn, normalize, phrases, similarity, wikify
 
 _PARTS: dict[tuple[str, str], Callable] = {}
 
@@ -36,7 +36,9 @@ for _kind, _parts in {
     "neighbours": {"brute-force": knn.brute_force, "random-projection": knn.RandomProjection, "lsh-forest": knn.LshForest, "k-means-tree": knn.KMeansTree, "two-means-tree": knn.TwoMeansTree},
     "disambiguator": {"top": phrases.top_sense, "consensus": phrases.consensus, "similarity": phrases.by_similarity, "milne-witten": phrases.milne_witten_senses},
     "wikifier": {"identity": wikify.identity, "milne-witten": wikify.milne_witten, "combined": wikify.combined},
-    "string normalizer": {"identity": lambda t: t, "simple": text.normalise, "fold-case": text.fold_case},
+    "string normalizer": {"identity": lambda t: t, "simple": text.normalise, "fold-case": text.fold_case, "stemmed": text.stemmed},
+    "vector generator": {"links": similarity.link_vectors, "texts": esa.text_vectors, "most similar concepts": esa.concept_vectors},
+    "phrase vectors": {"candidates": similarity.phrase_vectors, "by mode": esa.phrase_vectors_by},
 }.items():
     for _name, _part in _parts.items():
         register(_kind, _name, _part)
