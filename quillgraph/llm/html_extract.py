@@ -5,11 +5,11 @@ pages of a host each hash occurs, and subtrees that recur on many pages of their
 the blocks that aren't frequent on their host; those with next to none are copies and count as one, so that what copies
 share isn't taken for a template.
 
-What is marked as furniture by tag, role or class name (headers, footers, sidebars, notices and the like) is known by its
-marks alone, since its text may change from page to page: the marks are hashed and counted as well, and what carries them
-goes if another page of the host has them too. A marked subtree that is the only one of its host stays. Only on hosts of
-fewer than MIN_PAGES pages, where nothing can be told by counting, marks alone decide. What no reader takes for text
-(scripts, styles, form controls, menus) and what differs on each page (adverts, reader comments) goes anywhere.
+What is marked as furniture by tag, role or the words of its class names (menus, headers, footers, sidebars, notices, adverts
+and the like) is known by its marks alone, since its text may change from page to page: the marks are hashed and counted as
+well, and what carries them goes if another page of the host has them too. A marked subtree that is the only one of its host
+stays. Only on hosts of fewer than MIN_PAGES pages, where nothing can be told by counting, marks alone decide. What is no text
+(scripts, styles, forms, hidden elements) and reader comments go anywhere.
 """
 
 from __future__ import annotations
@@ -49,10 +49,10 @@ _SPACES = re.compile(r"\s+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _GONE = {
-    "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas", "audio", "video", "map", "head", "title", "nav", "form", "button",
+    "script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas", "audio", "video", "map", "head", "title", "form", "button",
     "select", "option", "textarea", "input", "label", "fieldset", "dialog", "menu", "noembed", "noframes", "xmp",
 }
-_MARKS = {"header", "footer", "aside"}
+_MARKS = {"nav", "header", "footer", "aside"}
 _BLOCK = {
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr",
     "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "header", "footer",
@@ -73,10 +73,10 @@ _BARS = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _P_ENDS = _BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SCOPE = {"table", "td", "th", "caption", "button", "html", "body", "article", "section", "main", "div", "li", "aside", "nav", "header", "footer", "form", "blockquote"}
 _ALWAYS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|promo\w*|sponsor\w*|comments?|commentlist|comment-?list|disqus|replies|reply|respond|discussion)(?=$|[\s_-])", re.I
+    r"(?:^|[\s_-])(?:comments?|commentlist|comment-?list|disqus|replies|reply|respond|discussion)(?=$|[\s_-])", re.I
 )
 _MARKED = re.compile(
-    r"(?:^|[\s_-])(?:banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|promo\w*|sponsor\w*|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|toolbar|pagination|pager|skip|search|tags?)(?=$|[\s_-])",
     re.I,
 )
@@ -131,12 +131,12 @@ def _heading(tag: str, raw: str) -> bool:
 
 
 def _marks_of(tag: str, raw: str) -> int:
-    """The key of an element's marks: its tag, role, class names and id, without digits and in any order."""
+    """The key of an element's marks: its tag, role and the words that mark it in its class names and id, whatever else is in these."""
     import xxhash
 
     a = _attrs(raw)
-    parts = [tag, *(" ".join(sorted(re.sub(r"\d+", "0", a.get(k, "").lower()).split())) for k in ("role", "class", "id"))]
-    return _signed(xxhash.xxh64_intdigest("\x01".join(parts).encode("utf-8", "surrogatepass"), 1))
+    words = sorted({m.strip(" \t\n\r\f_-").lower() for k in ("class", "id") for m in _MARKED.findall(a.get(k, ""))})
+    return _signed(xxhash.xxh64_intdigest("\x01".join([tag, a.get("role", "").lower(), *words]).encode("utf-8", "surrogatepass"), 1))
 
 
 class _Open:

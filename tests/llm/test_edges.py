@@ -64,7 +64,7 @@ def test_hostile_pages_take_seconds(kind):
 def test_recurrence_decides_about_marked_and_unmarked(spark):
     def page(i: int) -> str:
         once = '<p class="alert">Alert level of number 7 is part of its text</p>' * (i == 7)
-        note = f'<div class="notice n{i}">Notice {i} of its own words</div>'
+        note = f'<div class="notice-{i * 7919:x}" id="ad-{i * 104729:x}">Notice {i} of its own words</div>'
         return f"<article><h1>Title {i}</h1><p>A text about number {i}</p>{once}{note}<p>Said under every article</p><div class='comments'>Reader {i}</div></article><aside>See {i}</aside>"
 
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(30)] + [(100 + i, f"http://few.example/{i}", page(7 + i)) for i in range(3)]
