@@ -44,8 +44,10 @@ def resolve_chains(redirects: DataFrame, hops: int = 4) -> DataFrame:
     return last.select("src_page_id", F.when(F.col("again").isNull() & F.col("at").isNotNull(), F.col("at")).otherwise(-1).alias("dest_page_id"))
 
 
-def redirects_to(redirects: DataFrame) -> DataFrame:
-    """(dest_page_id, sources): the inverse."""
+def redirects_to(redirects: DataFrame, gather: bool = True) -> DataFrame:
+    """(dest_page_id, sources): the inverse; a row (dest_page_id, source) for each redirect if they aren't to be gathered, as of pages that very many lead to."""
+    if not gather:
+        return redirects.select("dest_page_id", F.col("src_page_id").alias("source")).distinct()
     return redirects.groupBy("dest_page_id").agg(F.sort_array(F.collect_set("src_page_id")).alias("sources"))
 
 
@@ -83,8 +85,11 @@ def skeletal_links(universal: DataFrame) -> DataFrame:
     return universal.where("univ_source_id <> -1 and univ_dest_id <> -1").groupBy("univ_source_id", "univ_dest_id").agg(F.sort_array(F.collect_set("lang_id")).alias("langs"))
 
 
-def universal_neighbours(skeletal: DataFrame, out: bool = True) -> DataFrame:
+def universal_neighbours(skeletal: DataFrame, out: bool = True, gather: bool = True) -> DataFrame:
+    """(univ_id, others, langs): what each concept links to, or what links to it; a row (univ_id, other, langs) for each link if they aren't to be gathered, as of hubs."""
     here, there = ("univ_source_id", "univ_dest_id") if out else ("univ_dest_id", "univ_source_id")
+    if not gather:
+        return skeletal.select(F.col(here).alias("univ_id"), F.col(there).alias("other"), "langs")
     return skeletal.groupBy(F.col(here).alias("univ_id")).agg(F.sort_array(F.collect_set(there)).alias("others"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("langs")))).alias("langs"))
 
 

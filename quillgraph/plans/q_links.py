@@ -174,7 +174,7 @@ def redirect_chains(spark, d):
 
 @query(f"WITH {B.REDIRECTS} SELECT dest_page_id, count(*) AS n, min(src_page_id) AS first_source FROM redirects GROUP BY ALL")
 def redirects_to(spark, d):
-    return links.redirects_to(B.redirects(spark, d)).select("dest_page_id", F.size("sources").cast("long").alias("n"), F.element_at("sources", 1).alias("first_source"))
+    return links.redirects_to(B.redirects(spark, d), gather=False).groupBy("dest_page_id").agg(F.count("*").alias("n"), F.min("source").alias("first_source"))
 
 
 @query(f"""WITH {B.PAGES}, {B.REDIRECTS} SELECT p.page_id AS asked_id, CASE WHEN p.is_redirect AND t.page_id IS NOT NULL THEN t.page_id ELSE p.page_id END AS page_id, CASE WHEN p.is_redirect AND t.page_id IS NOT NULL THEN t.title ELSE p.title END AS title
@@ -213,7 +213,8 @@ def skeletal_links(spark, d):
 @query(f"WITH {UNIVERSAL} SELECT univ_dest_id AS univ_id, count(DISTINCT univ_source_id) AS n, count(DISTINCT lang_id) AS langs FROM uni WHERE univ_source_id <> -1 AND univ_dest_id <> -1 GROUP BY ALL")
 def universal_inlinks(spark, d):
     s = links.skeletal_links(links.universal_links(B.links(spark, d), B.concepts(spark, d)))
-    return links.universal_neighbours(s, out=False).select("univ_id", F.size("others").cast("long").alias("n"), F.size("langs").cast("long").alias("langs"))
+    e = links.universal_neighbours(s, out=False, gather=False).select("univ_id", "other", F.explode("langs").alias("lang"))
+    return e.groupBy("univ_id").agg(F.countDistinct("other").alias("n"), F.countDistinct("lang").alias("langs"))
 
 
 @query(f"WITH {B.CONCEPTS} SELECT univ_id, array_to_string(list_sort(list(lang_id::VARCHAR || ':' || page_id::VARCHAR)), ', ') AS pages FROM concepts GROUP BY ALL")
