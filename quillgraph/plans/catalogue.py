@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import q_graph, q_links, q_more, q_other, q_text  # noqa: E402, F401
+from . import q_files, q_graph, q_links, q_more, q_other, q_text  # noqa: E402, F401
