@@ -45,7 +45,6 @@ _STOP = re.compile(r"[>\"']")
 #: A token of a tag, tried from its first character only, so that long ones aren't tried again from each of theirs.
 _ATTR = re.compile(r"(?<![^\s\"'>/=])([^\s=\"'>/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _LONG_NUMBER = re.compile(r"&#\d{8,};?")
-_SPACES = re.compile(r"\s+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _GONE = {
@@ -83,6 +82,7 @@ _MARKED = re.compile(
 _HEADER = re.compile(r"(?:masthead|header)(?=$|[\s\"'_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note", "status"}
 _KEPT = {"html", "body", "article", "main"}
+_NEVER = {"#root", *_KEPT}
 
 #: What becomes of an element: it is text, goes anywhere, or goes where its marks recur.
 TEXT, GONE, MARKED = 0, 1, 2
@@ -248,32 +248,30 @@ def parse(html: str) -> Node:
 
 
 def _clean(text: str) -> str:
-    return _SPACES.sub(" ", _unescape(text)).strip()
+    return " ".join(_unescape(text).split())
 
 
-def subtrees(root: Node) -> list[tuple[int, Node]]:
-    """(hash, node) of each element with text that doesn't go anywhere, marked ones among them; the hash covers tags, attributes and text."""
+def subtrees(root: Node) -> list[tuple[int, Node, bool]]:
+    """(hash, node, whether it is or lies in a marked one) of each element with text that doesn't go anywhere; the hash covers tags, attributes and text."""
     import xxhash
 
-    out, order, stack = [], [], [root]
+    out, order, stack = [], [], [(root, False)]
     while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(c for c in node[3] if not isinstance(c, str) and c[1] != GONE)
-    for node in reversed(order):
-        parts, some = [node[0], node[2]], False
+        node, within = stack.pop()
+        order.append((node, within))
+        stack.extend((c, within or c[1] == MARKED) for c in node[3] if not isinstance(c, str) and c[1] != GONE)
+    for node, within in reversed(order):
+        parts = [node[0], node[2]]
         for c in node[3]:
             if isinstance(c, str):
                 if t := _clean(c):
                     parts.append(t)
-                    some = True
-            elif c[1] != GONE and c[4]:
+            elif c[4] and c[1] != GONE:
                 parts.append(str(c[4]))
-                some = True
-        if some:
+        if len(parts) > 2:
             node[4] = _signed(xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")))
-            if node[0] not in ("#root", *_KEPT):
-                out.append((node[4], node))
+            if node[0] not in _NEVER:
+                out.append((node[4], node, within))
     return out
 
 
@@ -331,8 +329,7 @@ def blocks(root: Node, templates: frozenset[int] | set[int] | None = None) -> li
 
     def flush() -> None:
         if run:
-            t = _SPACES.sub(" ", _unescape("".join(run))).strip()
-            if t:
+            if t := _clean("".join(run)):
                 out.append(t)
             run.clear()
 
@@ -367,83 +364,116 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def marks(text: str) -> list[int]:
-    """What a block is known by: a hash of its text, for a long one three least hashes of its runs of three words, so that edits of a few words leave one."""
+_POWERS = np.cumprod(np.full(4096, _MIX[0], np.uint64))
+
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """A hash of each word: a polynomial of its bytes, all words at once."""
+    raw = np.frombuffer((" ".join(words) + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    start = np.r_[0, np.flatnonzero(raw == 32)[:-1] + 1]
+    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.r_[start, len(raw)]))
+    h = np.add.reduceat((raw + np.uint64(1)) * _POWERS[place & 4095], start)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(_MIX[2])
+
+
+def block_marks(texts: list[str]) -> list[list[int]]:
+    """What each block is known by: a hash of its text, for a long one three least hashes of its runs of three words, so that edits of a few words leave one."""
     import xxhash
 
-    words = text.lower().split()
-    if len(words) < LONG_BLOCK:
-        return [_signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))]
-    runs = map(" ".join, zip(words, words[1:], words[2:], strict=False))
-    h = np.array([xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs], np.uint64)
-    return sorted({_signed(int((h * np.uint64(m) + np.uint64(m >> 7)).min())) for m in _MIX})
+    out: list[list[int]] = [[]] * len(texts)
+    long, words, sizes = [], [], []
+    for i, text in enumerate(texts):
+        w = text.lower().split()
+        if len(w) < LONG_BLOCK:
+            out[i] = [_signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))]
+        else:
+            long.append(i)
+            words += w
+            sizes.append(len(w))
+    if long:
+        w = _word_hashes(words)
+        h = (w[:-2] * np.uint64(_MIX[0]) + w[1:-1]) * np.uint64(_MIX[1]) + w[2:]
+        end = np.cumsum(sizes)
+        cuts = np.stack([end - sizes, end - 2], axis=1).ravel()[:-1]  # the runs of each block, and those that go on into the next
+        least = [np.minimum.reduceat(h * np.uint64(m) + np.uint64(m >> 7), cuts)[::2].view(np.int64).tolist() for m in _MIX]
+        for i, *found in zip(long, *least, strict=True):
+            out[i] = sorted(set(found))
+    return out
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    kind, names = pa.list_(pa.struct([("m", pa.list_(pa.int64())), ("n", pa.int64())])), ["host", "page", "keys", "marks", "blocks"]
+    kind, names = pa.list_(pa.struct([("m", pa.list_(pa.int64())), ("n", pa.int64())])), ["host", "page", "keys", "within", "marks", "blocks"]
     for b in batches:
         for at in range(0, b.num_rows, 256):
-            part, page, keys, seen, found = b.slice(at, 256), [], [], [], []
+            part, page, keys, within, seen, found = b.slice(at, 256), [], [], [], [], []
             for html in part.column(1).to_pylist():
                 root = parse(html or "")
                 texts = blocks(root)
-                keys.append(sorted({h for h, _ in subtrees(root)}))
+                trees = subtrees(root)
+                keys.append(sorted({h for h, _, inside in trees if not inside}))
+                within.append(sorted({h for h, _, inside in trees if inside}.difference(keys[-1])))
                 seen.append(sorted(marked(root)))
-                page.append(_signed(xxhash.xxh64_intdigest("\x00".join([*texts, *map(str, keys[-1])]).encode("utf-8", "surrogatepass"))))
-                found.append([{"m": marks(t), "n": len(t)} for t in dict.fromkeys(texts)])
+                page.append(_signed(xxhash.xxh64_intdigest("\x00".join([*texts, *map(str, keys[-1]), *map(str, within[-1])]).encode("utf-8", "surrogatepass"))))
+                once = list(dict.fromkeys(texts))
+                found.append([{"m": m, "n": len(t)} for m, t in zip(block_marks(once), once, strict=True)])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(page, pa.int64()), pa.array(keys, longs), pa.array(seen, longs), pa.array(found, kind)], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(page, pa.int64()), pa.array(keys, longs), pa.array(within, longs), pa.array(seen, longs), pa.array(found, kind)], names)
 
 
 def articles(found: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, article, keys, marks): pages that differ, with the hash of the blocks that aren't frequent on their host.
+    """(host, article, keys, within, marks): pages that differ, with the hash of the blocks that aren't frequent on their host.
 
     Pages with fewer than MIN_OWN characters of such blocks are copies of others, or empty, and share the article 0.
     """
     often = found.select("host", F.explode(F.array_distinct(F.flatten("blocks.m"))).alias("m")).groupBy("host", "m").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = scratch.put(often.groupBy("host").agg(F.collect_list("m").alias("often")), "often").withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["m"], F.col("often")), F.lit(False)))
-    got = found.withColumn("z", F.pmod("page", F.lit(SALTS)).cast("int")).join(often, ["host", "z"], "left").select("host", "keys", "marks", own.alias("own"))
+    got = found.withColumn("z", F.pmod("page", F.lit(SALTS)).cast("int")).join(often, ["host", "z"], "left").select("host", "keys", "within", "marks", own.alias("own"))
     size = F.aggregate("own", F.lit(0).cast("long"), lambda total, b: total + b["n"])
-    return got.select("host", F.when(size >= MIN_OWN, F.xxhash64(F.array_sort(F.flatten("own.m")))).otherwise(F.lit(0)).alias("article"), "keys", "marks")
+    return got.select("host", F.when(size >= MIN_OWN, F.xxhash64(F.array_sort(F.flatten("own.m")))).otherwise(F.lit(0)).alias("article"), "keys", "within", "marks")
 
 
 def templates(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, growth: float = GROWTH, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, keys): for each host of ``min_pages`` pages or more the hashes of subtrees that occur on ``min_pages`` of them and the
-    ``growth`` power of their number, and the marks that occur on MARKED_PAGES.
+    """(host, keys, plain): for each host of ``min_pages`` pages or more the hashes of subtrees that occur on ``min_pages`` of them and the
+    ``growth`` power of their number, and the marks that occur on MARKED_PAGES; ``plain`` if some of these subtrees aren't within marked ones.
 
     Pages are told apart by their articles. The bound grows slowly, so that what recurs in one section of a large host is found.
     A host has at most its elements a page times the root of its pages, and the marks that its pages share.
     """
-    found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashes, "host string, page long, keys array<long>, marks array<long>, blocks array<struct<m: array<long>, n: long>>")
+    found = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashes, "host string, page long, keys array<long>, within array<long>, marks array<long>, blocks array<struct<m: array<long>, n: long>>")
     found = scratch.put(found.dropDuplicates(["host", "page"]), "subtrees")
     found = scratch.put(articles(found, scratch, min_pages), "articles")
     n = found.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     counts = recurrences(found, min_pages)
     often = n.join(counts, "host", "left").where(F.col("marked") | F.col("key").isNull() | (F.col("n") >= F.pow("pages", F.lit(growth))))
-    return scratch.put(often.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys")), "templates")
+    plain = F.coalesce(F.max(F.col("plain")), F.lit(False))
+    return scratch.put(often.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys"), plain.alias("plain")), "templates")
 
 
 def recurrences(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, key, marked, n): the articles of each host that hold a subtree's hash or a mark, if there are ``min_pages`` or MARKED_PAGES of them."""
-    def tagged(column: str, marked: bool) -> Column:
-        return F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(marked).alias("marked")))
+    """(host, key, marked, plain, n): the articles of each host that hold a subtree's hash or a mark, if there are ``min_pages`` or MARKED_PAGES of them.
+
+    ``plain`` tells whether a subtree is anywhere outside of marked ones.
+    """
+
+    def tagged(column: str, marked: bool, plain: bool) -> Column:
+        return F.transform(column, lambda k: F.struct(k.alias("key"), F.lit(marked).alias("marked"), F.lit(plain).alias("plain")))
 
-    each = F.explode(F.concat(tagged("keys", False), tagged("marks", True)))
-    flat = found.select("host", "article", each.alias("e")).select("host", "article", "e.key", "e.marked").distinct()
-    return flat.groupBy("host", "key", "marked").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("marked"), MARKED_PAGES).otherwise(min_pages))
+    each = F.explode(F.concat(tagged("keys", False, True), tagged("within", False, False), tagged("marks", True, False)))
+    flat = found.select("host", "article", each.alias("e")).select("host", "article", "e.*").groupBy("host", "article", "key", "marked").agg(F.max("plain").alias("plain"))
+    return flat.groupBy("host", "key", "marked").agg(F.max("plain").alias("plain"), F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("marked"), MARKED_PAGES).otherwise(min_pages))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part, out = b.slice(at, 256), []
-            for html, keys in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for html, keys, plain in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 root = parse(html or "")
                 drop = None if keys is None else frozenset(keys)
-                if drop:
+                if drop and (plain or not drop.issuperset(marked(root))):  # else what is marked goes whole, and nothing else does
                     subtrees(root)
                 out.append("\n\n".join(blocks(root, drop)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
@@ -460,5 +490,5 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, growth: float = GROWTH
     often = templates(pages, scratch, min_pages, growth, url_col, html_col)
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     schema = keyed.select("page_id", "url").schema.add("text", "string")
-    got = keyed.join(often, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(_texts, schema)
+    got = keyed.join(often, "host", "left").select("page_id", "url", "html", "keys", "plain").mapInArrow(_texts, schema)
     return got.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -90,7 +90,7 @@ def test_counts_of_subtrees_and_marks_by_brute_force(spark):
         n, seen, pages_of = collections.Counter(), collections.Counter(), {h for _, u, h in rows if u[7] == host}
         for h in pages_of:
             root = html_extract.parse(h)
-            n.update({k for k, _ in html_extract.subtrees(root)})
+            n.update({k for k, _, _ in html_extract.subtrees(root)})
             seen.update(html_extract.marked(root))
         want[f"{host}.example"] = {k for k, c in n.items() if c >= 10 and c >= len(pages_of) ** 0.5} | {k for k, c in seen.items() if c >= 2}
     assert found == want
