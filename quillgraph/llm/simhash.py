@@ -15,7 +15,7 @@ Buckets are compared in blocks of bounded size; a task sends out a spanning fore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
@@ -96,6 +96,14 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(row), np.concatenate(near)
 
 
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of ``n`` 64-bit hashes, which come in arrays, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for h in hashes:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
     """The fingerprint of a text in UTF-8, as a signed 64-bit number; 0 without words."""
     import xxhash
@@ -107,12 +115,8 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
         shingles, n = iter([b" ".join(w)]), 1
     else:
         shingles, n = map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False)), len(w) - size + 1
-    hashes, ones = map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
-        m = min(_CHUNK, n - at)
-        h = np.fromiter(islice(hashes, m), np.uint64, m)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    hashes, parts = map(xxhash.xxh64_intdigest, shingles, repeat(seed)), (min(_CHUNK, n - at) for at in range(0, n, _CHUNK))
+    return majority((np.fromiter(islice(hashes, m), np.uint64, m) for m in parts), n)
 
 
 def digest(text: Column) -> Column:
@@ -134,16 +138,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long" + ", digest string" * digests)
 
 
-def _key_rows(fps: DataFrame) -> DataFrame:
+def key_rows(fps: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp, near) for each row's bucket keys, with the columns ``more`` of 64-bit numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = b.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(f), 4096):
                 part = f[at : at + 4096]
                 key, row, near = keys_of(part)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row]), pa.array(near)], ["key", "fp", "near"])
+                others = [c.slice(at, 4096).take(pa.array(row)) for c in b.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row]), pa.array(near), *others], ["key", "fp", "near", *more])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, near boolean")
+    return fps.select("fp", *more).mapInArrow(run, ", ".join(["key long, fp long, near boolean", *(f"{c} long" for c in more)]))
 
 
 def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +209,7 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 3, block: int = BLOC
     """(u, v): links between distinct fingerprints that connect all at ``distance`` or less. ``fps`` has distinct ones."""
     if not 0 <= distance <= 3:
         raise ValueError("the keys hold for distances up to 3")
-    keys = _key_rows(fps)
+    keys = key_rows(fps)
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("near").alias("near")).where("n > 1 AND near").select("key", "n")
     sizes = scratch.put(sizes, "buckets")
     cells = (

@@ -421,6 +421,43 @@ def test_near_copies_are_those_of_five_word_shingles(spark, block):
     assert near_copies.groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_link_by_fingerprints_what_bands_miss(spark):
+    rows, texts = [], []
+    for k, i in enumerate((453997, 1293714)):  # nine shingles each, eight in common: 0.8 alike, three bits apart, no band shared
+        base = [f"{i}x{j}" for j in range(13)]
+        texts += [" ".join(base), " ".join([*base[:12], f"{i}y"])]
+        rows += [(10 * k + 1, texts[-2]), (10 * k + 2, texts[-1])]
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    for x, y in (sets[:2], sets[2:]):
+        assert not (near_copies.least_hashes(x) == near_copies.least_hashes(y)).reshape(near_copies.BANDS, -1).all(1).any()
+        assert near_copies._pair(x, y)
+    rows += [(50, " ".join(f"o{j}" for j in range(40))), (None, None), (60, "")]
+    root = {r.doc_id: r.root for r in near_copies.groups(frame(spark, rows)).collect()}
+    assert root[1] == root[2] and root[11] == root[12] and len({root[1], root[11], root[50], root[60]}) == 4
+    kept = simhash.keep_least(frame(spark, rows), near_copies.groups(frame(spark, rows))).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 11, 50, 60]
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_fingerprints_left_apart_all_meet_in_golay_cells(spark, block):
+    rng, fps = random.Random(9), []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        fps += [base, base] + [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for _ in range(10)]
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    texts = spark.createDataFrame([(k, f, 8) for k, f in enumerate(fps)], "name long, fp long, size long")
+    near, pairs = near_copies._by_prints(texts, Scratch(spark, "test"))
+    roots = spark.createDataFrame([(1, 0)], "node long, root long")
+    rows = near_copies._golay_rows(texts, near, pairs, roots, Scratch(spark, "test"))
+    cells = near_copies._cells(near_copies._in_blocks(rows, block, 1 << 20, True).orderBy("cell").toArrow().to_batches())
+    got = set()
+    for t in cells:
+        name = t.column("name").to_pylist()
+        got |= {(min(name[i], name[j]), max(name[i], name[j])) for i, js in near_copies._candidates(t) for j in js.tolist()}
+    want = {(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if ((fps[i] ^ fps[j]) & ((1 << 64) - 1)).bit_count() <= 3}
+    assert got == want - {(0, 1)}
+
+
 def test_golay_lists_share_an_index_at_distance_one():
     v = np.random.default_rng(0).integers(0, 1 << 23, 3000)
     a = simhash.golay_indices(v)
