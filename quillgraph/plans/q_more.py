@@ -604,13 +604,13 @@ def merged_places(spark, d):
     return spatial.merge_matches(old, _places(spark, d))
 
 
-@query(f"""WITH {B.POINTS}, {DIRECT}, m AS (SELECT x.id AS a, y.id AS b, {_M} AS m FROM points x JOIN points y ON x.id <> y.id WHERE x.id % 20 = 0 AND {_M} <= 2000000)
+@query(f"""WITH {B.POINTS}, {DIRECT}, m AS (SELECT x.id AS a, y.id AS b, {_M} AS m FROM points x JOIN points y ON x.id <> y.id WHERE {_M} <= 2000000)
 SELECT floor(round(m, 3) / 250000)::BIGINT AS level, count(*) AS pairs, round(avg(score), 6) AS mean_score FROM m JOIN dl USING (a, b) GROUP BY ALL""")
 def relatedness_by_distance(spark, d):
-    """Whether near places are more related."""
-    p = B.points(spark, d)
-    w = spatial.within(p.where("id % 20 = 0"), p, 2_000_000.0).where("a <> b").withColumn("metres", F.round("metres", 3))
-    return spatial.distance_levels(w, _direct(spark, d), 250_000.0).select("level", "pairs", r("mean_score"))
+    """Whether near places are more related: of all pairs of places that have a score."""
+    scores = _direct(spark, d)
+    w = spatial.between(scores.where("a <> b"), B.points(spark, d), 2_000_000.0).withColumn("metres", F.round("metres", 3))
+    return spatial.scored_levels(w, 250_000.0).select("level", "pairs", r("mean_score"))
 
 
 # scans, lookups and metrics -------------------------------------------------------------------------------------------------

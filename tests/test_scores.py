@@ -152,3 +152,14 @@ def test_parts_by_name(spark):
     s = {(r.a, r.b): r.score for r in engine.similarity(spark.createDataFrame([(1, 1), (1, 6)], "a long, b long"), "inlink").collect()}
     assert s == {(1, 1): 1.0, (1, 6): 0.0}
     assert engine.page_rank(pages).count() == 6
+
+
+def test_distance_levels_take_every_scored_pair(spark, tmp_path):
+    from quillgraph.plans import catalogue
+
+    table = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    table([(1, 0), (2, 0), (8, 0)], "c_custkey long, c_nationkey int", "customer")
+    table([(5, 1)], "o_orderkey long, o_custkey long", "orders")
+    table([(5, 2), (5, 8), (5, 1)], "l_orderkey long, l_suppkey long", "lineitem")
+    # no key is a multiple of 20; 1 and 2 lie 600 km apart, 1 and 8 more than 4,000
+    assert rows(catalogue.QUERIES["relatedness_by_distance"](spark, str(tmp_path))) == [(2, 2, 0.5)]
