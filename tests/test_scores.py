@@ -163,3 +163,29 @@ def test_distance_levels_take_every_scored_pair(spark, tmp_path):
     table([(5, 2), (5, 8), (5, 1)], "l_orderkey long, l_suppkey long", "lineitem")
     # no key is a multiple of 20; 1 and 2 lie 600 km apart, 1 and 8 more than 4,000
     assert rows(catalogue.QUERIES["relatedness_by_distance"](spark, str(tmp_path))) == [(2, 2, 0.5)]
+
+
+def test_estimated_ordinals_are_of_all_pairs(spark, tmp_path):
+    from quillgraph.plans import catalogue
+
+    ids = [1, 2, 3, 8, 20, 21]
+    spark.createDataFrame([(k,) for k in ids], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = rows(catalogue.QUERIES["estimated_ordinals"](spark, str(tmp_path)))
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a in ids for b in ids if a != b]
+    # of five others the furthest is the edge
+    assert all(sorted(o for a, _, o in got if a == k) == [0, 1, 2, 3, 5] for k in ids)
+
+
+def test_ordinals_within_are_ranks_of_the_pairs_within(spark):
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([(i, float(rng.integers(-18, 18) * 10), float(rng.integers(-9, 10) * 10)) for i in range(300)], "id long, lon double, lat double")
+    a = p.where("id % 3 = 0")
+    want = spatial.ordinal(spatial.within(a, p, 3_000_000.0).where("a <> b").withColumn("metres", F.round("metres", 3)))
+    got = rows(spatial.ordinals_within(a, p, 3_000_000.0))
+    assert got == rows(want) and len(got) > 300
+
+
+def test_within_sends_lists_not_pairs(spark):
+    p = spark.range(4000).select("id", (F.col("id") % 2 / 10).alias("lon"), F.lit(1.0).alias("lat"))
+    plan = spatial.within(p, p, 900_000.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("Join")
