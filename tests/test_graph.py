@@ -106,3 +106,27 @@ def test_indexes_reach_their_recall(spark):
     assert exact.where("rank = 1").count() == q.count()
     for index, how in ((knn.RandomProjection(), {"traversal": 2000}), (knn.LshForest(), {"traversal": 8000}), (knn.KMeansTree(), {"probes": 300}), (knn.TwoMeansTree(), {"probes": 48})):
         assert knn.recall(index.fit(v).search(v, q, 10, **how), exact).first()[0] >= 0.9, index
+
+
+def test_block_pairs_equal_the_joins_and_send_no_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    near = [(rng.randrange(40), rng.randrange(25)) for _ in range(300)]
+    far = [(10_000 + rng.randrange(3000), rng.randrange(30)) for _ in range(400)] + [(-5, 3)]
+    e = spark.createDataFrame(sorted(set(near + far)), "source_id long, dest_id long")
+    told = lambda df: {(r.a, r.b): None if r.score is None else round(r.score, 9) for r in df.collect()}
+    ins, outs = similarity.link_vectors(e, out=False), similarity.link_vectors(e, out=True, weighted=True, logged=True)
+    i, o = similarity.google(ins, 1000), similarity.cosine(outs)
+    for least, most in ((2048, 32768), (64, 64), (2048, 2048)):
+        monkeypatch.setattr(similarity, "_LEAST", least)
+        monkeypatch.setattr(similarity, "_MOST", most)
+        got = similarity.outlink(e)
+        assert told(got) == told(o)
+    assert told(similarity.inlink(e, 1000)) == told(i)
+    assert told(similarity.milne_witten_pairs(e, 1000)) == told(similarity.milne_witten(i, o))
+    best = lambda df: sorted((r.a, r["rank"], r.b) for r in df.collect())
+    assert best(similarity.outlink_most_similar(e, 3)) == best(similarity.most_similar(o, 3))
+    # after the blocks met in one Python step, nothing is summed by pair
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "keys=[a" not in plan
