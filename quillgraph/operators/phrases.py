@@ -54,6 +54,24 @@ def cascade(*analysers: DataFrame) -> DataFrame:
     return out
 
 
+#: Phrases that are looked up in memory, at most.
+_FEW = 1_000_000
+
+
+def few(known: DataFrame) -> tuple[DataFrame, bool]:
+    """The phrases, stored, and whether they are so few that texts can look them up where they are; counted up to there only."""
+    from .graph import cut
+
+    known = cut(known)
+    return known, known.limit(_FEW + 1).count() <= _FEW
+
+
+def look_up(grams: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows of ``grams`` whose phrase is known; where phrases are few, n-grams that aren't known are never sent."""
+    known, small = few(known)
+    return grams.join(F.broadcast(known) if small else known, "phrase", how)
+
+
 def link_probability(docs: DataFrame, linked: DataFrame, longest: int = 3) -> DataFrame:
     """(phrase, n_links, n_seen, prob): links / (occurrences + 3) of known phrases, from (doc_id, text) and (phrase, n_links).
 
@@ -64,7 +82,7 @@ def link_probability(docs: DataFrame, linked: DataFrame, longest: int = 3) -> Da
     for n in sorted(lengths) or [1]:
         g = toks.select(F.explode(T.ngrams(F.col("t"), n, n)).alias("phrase"))
         grams = g if grams is None else grams.unionByName(g)
-    grams = grams.join(linked.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("n_seen"))
+    grams = look_up(grams, linked.select("phrase").distinct(), "left_semi").groupBy("phrase").agg(F.count("*").alias("n_seen"))
     return linked.join(grams, "phrase", "left").select("phrase", "n_links", F.coalesce("n_seen", F.lit(0)).alias("n_seen"), (F.col("n_links") / (F.coalesce("n_seen", F.lit(0)) + 3)).alias("prob"))
 
 

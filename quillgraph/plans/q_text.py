@@ -225,11 +225,11 @@ def markup_text(spark, d):
 
 
 def _known(spark, d):
-    """Phrases of one to three words with their link probability, senses with priors and relatedness of pages, from the benchmark's texts."""
+    """Phrases of one to three words with their link probability, all their senses with priors and relatedness of pages, from the benchmark's texts."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     ix = b.select("doc_id", F.explode(T.ngrams(T.tokens(F.lower("text")), 1, 3)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     known = phrases.link_probability(B.docs(spark, d), ix.groupBy(F.col("term").alias("phrase")).agg(F.sum("tf").alias("n_links")), 3).select("phrase", "prob")
-    senses = phrases.prune(ix.select(F.col("term").alias("phrase"), F.col("doc_id").alias("page_id"), F.col("tf").alias("count")), "phrase", "page_id", max_rank=3).select("phrase", "page_id", (F.col("count") / F.col("total")).alias("prob"))
+    senses = phrases.prune(ix.select(F.col("term").alias("phrase"), F.col("doc_id").alias("page_id"), F.col("tf").alias("count")), "phrase", "page_id").select("phrase", "page_id", (F.col("count") / F.col("total")).alias("prob"))
     from ..operators.similarity import cosine
 
     v = ix.select(F.col("doc_id").alias("row_id"), F.xxhash64("term").alias("col_id"), F.col("tf").cast("double").alias("value"))

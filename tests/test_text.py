@@ -137,3 +137,21 @@ def test_sentence_counts_take_all_sentences(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_sentences, r.n_words, r.n_grams) for r in catalogue.QUERIES["sentence_counts"](spark, str(tmp_path)).collect()}
     assert got == {1: (2, 7, 8), 2: (0, 0, 0), 3: (1, 1, 0)}
+
+
+def test_wikify_weighs_all_senses_by_matrix_or_by_rows(spark, tmp_path, monkeypatch):
+    from quillgraph.plans import catalogue, q_text
+
+    bench = [(k, f"word alpha beta{' word' * (k == 5)}") for k in range(1, 6)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "a word of alpha beta", "en", "s"), (2, "nothing here", "en", "s"), (3, None, "en", "s"), (4, "word", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    known, senses, _ = q_text._known(spark, str(tmp_path))
+    assert senses.where("phrase = 'alpha'").count() == 5  # no sense is dropped
+    got = {}
+    for most in (2048, 0):
+        monkeypatch.setattr(wikify, "_PAGES", most)
+        got[most] = [rows(catalogue.QUERIES[q](spark, str(tmp_path))) for q in ("wikify_documents", "wikify_combined")]
+    assert got[2048] == got[0] and got[0][0]
+    # n-grams that aren't known are never sent
+    plan = wikify.spans(q_text.B.docs(spark, str(tmp_path)), known)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
